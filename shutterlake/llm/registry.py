@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, sharding, topk, warc
+from . import chat, packing, sharding, topk, warc
 from .common import table
 
 
 def queries():
     return {
+        "op2_packing": lambda spark, d: packing.op2(table(spark, d, "documents")),
         "op5_sharding": lambda spark, d: sharding.op5(table(spark, d, "documents")),
         "op6_warc": lambda spark, d: warc.op6(spark, table(spark, d, "pages")),
         "op9_topk": lambda spark, d: topk.op9(table(spark, d, "embeddings")),
