@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, packing, sharding, topk, warc
+from . import chat, langid, packing, sharding, topk, warc
 from .common import table
 
 
@@ -11,6 +11,7 @@ def queries():
         "op2_packing": lambda spark, d: packing.op2(table(spark, d, "documents")),
         "op5_sharding": lambda spark, d: sharding.op5(table(spark, d, "documents")),
         "op6_warc": lambda spark, d: warc.op6(spark, table(spark, d, "pages")),
+        "op7_langid": lambda spark, d: langid.op7(table(spark, d, "documents")),
         "op9_topk": lambda spark, d: topk.op9(table(spark, d, "embeddings")),
         "op10_chat": lambda spark, d: chat.op10(table(spark, d, "conversations")),
     }
