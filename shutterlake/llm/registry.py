@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, langid, packing, sharding, topk, warc
+from . import chat, fingerprint, langid, packing, sharding, topk, warc
 from .common import table
 
 
 def queries():
     return {
+        "op1_fingerprint": lambda spark, d: fingerprint.op1(table(spark, d, "documents")),
         "op2_packing": lambda spark, d: packing.op2(table(spark, d, "documents")),
         "op5_sharding": lambda spark, d: sharding.op5(table(spark, d, "documents")),
         "op6_warc": lambda spark, d: warc.op6(spark, table(spark, d, "pages")),
