@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, langid, ngram_join, packing, sharding, topk, warc
+from . import chat, fingerprint, langid, linededup, ngram_join, packing, sharding, topk, warc
 from .common import table
 
 
@@ -10,6 +10,7 @@ def queries():
     return {
         "op1_fingerprint": lambda spark, d: fingerprint.op1(table(spark, d, "documents")),
         "op2_packing": lambda spark, d: packing.op2(table(spark, d, "documents")),
+        "op3_linededup": lambda spark, d: linededup.op3(table(spark, d, "documents")),
         "op4_ngram_join": lambda spark, d: ngram_join.op4(table(spark, d, "documents")),
         "op5_sharding": lambda spark, d: sharding.op5(table(spark, d, "documents")),
         "op6_warc": lambda spark, d: warc.op6(spark, table(spark, d, "pages")),
