@@ -306,5 +306,13 @@ def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return named.join(whole, F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs that are the least of their component, all columns. Rows
+    without words, or without a doc_id, stay."""
+    gone = settled(joined(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
 def op4(docs: DataFrame) -> DataFrame:
     return joined(docs).select("doc_id", "n_shingles", "component_id", "class_id")

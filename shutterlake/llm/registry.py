@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, langid, linededup, ngram_join, packing, sharding, topk, warc
+from . import chat, fingerprint, langid, linededup, ngram_join, packing, pieces, sharding, topk, warc
 from .common import table
 
 
@@ -15,6 +15,7 @@ def queries():
         "op5_sharding": lambda spark, d: sharding.op5(table(spark, d, "documents")),
         "op6_warc": lambda spark, d: warc.op6(spark, table(spark, d, "pages")),
         "op7_langid": lambda spark, d: langid.op7(table(spark, d, "documents")),
+        "op8_pieces": lambda spark, d: pieces.op8(table(spark, d, "documents")),
         "op9_topk": lambda spark, d: topk.op9(table(spark, d, "embeddings")),
         "op10_chat": lambda spark, d: chat.op10(table(spark, d, "conversations")),
     }
