@@ -12,6 +12,8 @@ from .vector import all_pairs_top
 
 #: Fixed values.
 K, TAU = 5, 0.45
+#: Up to so many edges (counted) one task finds the components by itself.
+SMALL_EDGES = 50_000
 
 
 def subject_knn(vectors: DataFrame, k: int = K, only: DataFrame | None = None) -> DataFrame:
@@ -37,11 +39,30 @@ def mutual_edges(knn: DataFrame, tau: float = TAU) -> DataFrame:
     return ahead.join(back, ["face_a", "face_b"], "left_semi")
 
 
+def _union(rows: pd.DataFrame) -> pd.DataFrame:
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in rows[["a", "b"]].itertuples(index=False):
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return pd.DataFrame({"id": list(parent), "component": [root(x) for x in list(parent)]})
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component (its least id) of nodes under edges (a, b), by randomized
     contraction: each round every node goes over to the node of least random
     priority around it, so the rounds are logarithmic in the longest path."""
     links = settled(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
+    if links.count() <= SMALL_EDGES:
+        found = links.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_union, "id long, component long")
+        rest = nodes.select("id").distinct().join(found.select("id"), "id", "left_anti")
+        return found.unionByName(rest.withColumn("component", F.col("id")))
     at = nodes.select("id").union(links.select("a")).union(links.select("b")).distinct().withColumn("at", F.col("id"))
     turn = 0
     while not links.isEmpty():
