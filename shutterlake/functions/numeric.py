@@ -126,3 +126,8 @@ def preview_workers(pending: Column, idle_seconds: Column, burst: int) -> Column
 
 def stage(semantic: Column, subject: Column) -> Column:
     return F.when(semantic & subject, F.lit("ready")).otherwise(F.lit("pending"))
+
+
+def pixel(value: Column) -> Column:
+    """A byte scaled to -1..1."""
+    return (value / F.lit(255.0) - 0.5) / 0.5

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..fixtures import Catalog
-from . import advanced, relational
+from . import advanced, relational, streams
 
-PARTS = (relational, advanced)
+PARTS = (relational, advanced, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
