@@ -8,6 +8,9 @@ nearly as small the prediction is marked as rejected.
 Texts are reduced to lower-case words first, since case, digits and marks say
 little about a language, and are compressed whole, in chunks, so that a long
 text is held against the dictionary all along and not against its own start.
+Very short texts come out alike, since zstandard stores them as they are; where
+the margin is narrow a text is compressed once more behind a passage of each
+dictionary, and counts as what it adds to that passage.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 #: Bounds of the labelled sample: rows a language (expected), bytes of its dictionary.
 SAMPLE_ROWS, DICTIONARY_BYTES = 800, 112 << 10
 LEVEL, CHUNK = 6, 4096
+#: Bytes of a dictionary's middle that a text is put behind for the second look.
+PASSAGE = 500
 #: Least share of the second-best size that the best must save.
 MARGIN = 0.01
 UNKNOWN = "und"
@@ -42,33 +47,43 @@ class Model:
     languages: list[str]
     dictionaries: list[bytes]
 
-    def compressors(self):
+    def compressors(self) -> list[tuple]:
+        """Of each language: a compressor, a passage, and the passage's size compressed."""
         import zstandard as Z
 
         found = []
         for content in self.dictionaries:
             if len(content) < 8:  # too little to be a dictionary
-                found.append(Z.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
-                continue
-            held = Z.ZstdCompressionDict(content, dict_type=Z.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            found.append(Z.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
+                run = Z.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            else:
+                held = Z.ZstdCompressionDict(content, dict_type=Z.DICT_TYPE_RAWCONTENT)
+                held.precompute_compress(level=LEVEL)
+                run = Z.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+            passage = content[len(content) // 2 :][:PASSAGE]
+            found.append((run, passage, len(run.compress(passage))))
         return found
 
 
-def predict(text: str | None, languages: list[str], compressors: list, margin: float = MARGIN) -> tuple[str, float, float, bool]:
+def _best(sizes: list[int]) -> tuple[int, float]:
+    """The first of the least, and the share of the second that it saves."""
+    k = sizes.index(min(sizes))
+    second = min([s for i, s in enumerate(sizes) if i != k], default=None)
+    return k, 1.0 if second is None else (second - sizes[k]) / max(second, 1)
+
+
+def predict(text: str | None, languages: list[str], compressors: list[tuple], margin: float = MARGIN) -> tuple[str, float, float, bool]:
     """Language, score (two to the minus bytes over the best, as a share of all
     languages'), margin and whether it is wide enough. `und`, 0, 0 and false for
     texts without letters, or without languages to choose from."""
     if not text or not languages or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, 0.0, False
     words = reduced(text)
-    sizes = [sum(len(c.compress(words[at : at + CHUNK])) for at in range(0, len(words), CHUNK)) for c in compressors]
-    best = min(sizes)
-    k = sizes.index(best)
-    score = 1 / sum(2.0 ** max(-60, best - s) for s in sizes)
-    second = min([s for i, s in enumerate(sizes) if i != k], default=None)
-    saved = 1.0 if second is None else (second - best) / second
+    sizes = [sum(len(c.compress(words[at : at + CHUNK])) for at in range(0, len(words), CHUNK)) for c, _, _ in compressors]
+    k, saved = _best(sizes)
+    if saved < margin:
+        sizes = [sum(len(c.compress(passage + words[at : at + CHUNK])) - alone for at in range(0, len(words), CHUNK)) for c, passage, alone in compressors]
+        k, saved = _best(sizes)
+    score = 1 / sum(2.0 ** max(-60, sizes[k] - s) for s in sizes)
     return languages[k], score, saved, saved >= margin
 
 
