@@ -3,13 +3,15 @@
 The lattice of a stretch of text has a node a character and an edge a piece. A
 forward Viterbi pass gives each node the score of its best prefix, which is the
 exact heuristic for a search from the end: paths leave the queue in order of
-their total score, so the first n that reach the start are the n best.
+their total score, so the first n that reach the start are the n best. Since
+every path in the queue is one more whole path of just its score, the queue
+needs no more entries than paths are still wanted.
 
 No piece contains two neighbouring characters that no piece joins, so a text's
 lattice falls into stretches between such neighbours. Each stretch is searched
-once and kept; a text's n best are put together from its stretches', of which
-only the n - 1 with the least loss to their second best can differ from the
-best. Scores are integers in the file used here, so their sums are exact.
+once for its two best and kept; a text's n best are put together from its
+stretches', of which only the n - 1 with the least loss to their second best can
+differ from the best, and only these are searched for n. Scores are integers in the file used here, so their sums are exact.
 Characters without a piece fall back to the pieces of their UTF-8 bytes.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,81 +54,103 @@ class Lattices:
                 pairs.update(zip(piece, piece[1:], strict=False))
         self.pairs, self.longest = pairs, max(map(len, self.score))
         self.unknown = min(self.score.values()) - UNKNOWN_COST
+        #: Scores of pieces; None of what only begins pieces.
+        self.table = {p[:k]: None for p in self.score for k in range(1, len(p))} | self.score
         self.words: dict[str, list[Path]] = {}
         self.stretches: dict[str, list[Path]] = {}
 
     def fallback(self, char: str) -> bytes:
         return np.array([self.bytes_[b] for b in char.encode("utf-8", "surrogatepass")], "<u4").tobytes()
 
-    def search(self, text: str) -> list[Path]:
+    def search(self, text: str, n: int) -> list[Path]:
         """The n best paths of a stretch, best first; equal scores in order of
         discovery, which depends on the stretch alone."""
-        score, size = self.score, len(text)
-        best, ending = [0.0] + [float("-inf")] * size, [[] for _ in range(size + 1)]
+        get, size, lowest, unknown = self.table.get, len(text), float("-inf"), self.unknown
+        best, ending = [0.0] + [lowest] * size, [[] for _ in range(size + 1)]
         for i in range(size):
             at = best[i]
-            for j in range(i + 1, min(size, i + self.longest) + 1):
-                piece = text[i:j]
-                s = score.get(piece)
-                if s is None:
-                    if j > i + 1:
+            for j in range(i + 1, size + 1):
+                s = get(text[i:j], lowest)
+                if s is None or s == lowest:
+                    if j == i + 1:
+                        ending[j].append((i, unknown))
+                        if at + unknown > best[j]:
+                            best[j] = at + unknown
+                    if s is None:
                         continue
-                    s = self.unknown
-                ending[j].append((i, piece, s))
+                    break
+                ending[j].append((i, s))
                 if at + s > best[j]:
                     best[j] = at + s
         found: list[Path] = []
         queue, made = [(-best[size], 0, size, 0.0, None)], 0
-        while queue and len(found) < self.n:
-            _, _, node, done, path = heapq.heappop(queue)
+        while queue and len(found) < n:
+            _, _, node, done, path = queue.pop(0)
             if not node:
-                ids, pieces, step = [], 0, path
-                while step:
-                    piece, step = step
+                ids, at = [], 0
+                while path:
+                    end, path = path
+                    piece = text[at:end]
                     ids.append(self.ids.get(piece) or self.fallback(piece))
-                    pieces += len(ids[-1]) // 4
-                found.append((done, b"".join(ids), pieces))
+                    at = end
+                whole = b"".join(ids)
+                found.append((done, whole, len(whole) // 4))
                 continue
-            for i, piece, s in ending[node]:
+            room, path = n - len(found), (node, path)
+            for i, s in ending[node]:
                 made += 1
-                heapq.heappush(queue, (-(done + s + best[i]), made, i, done + s, (piece, path)))
+                total = -(done + s + best[i])
+                if len(queue) < room or total < queue[-1][0]:
+                    insort(queue, (total, made, i, done + s, path))
+                    del queue[room:]
         return found
 
     def _stretch(self, text: str) -> list[Path]:
         if (got := self.stretches.get(text)) is None:
             if len(self.stretches) >= CACHE:
                 self.stretches.clear()
-            got = self.stretches[text] = self.search(text)
+            got = self.stretches[text] = self.search(text, 2)
         return got
 
-    def together(self, parts: list[list[Path]]) -> list[Path]:
-        """The n best of parts in a row; equal scores by the earlier part's earlier choice last."""
-        if len(parts) == 1:
-            return parts[0]
+    def together(self, parts: list[list[Path]], n: int, whole) -> list[Path]:
+        """The n best of parts in a row, given their two best and whole(k), the n
+        best of part k; of equal scores first those that change earlier parts less."""
         losses = [(p[0][0] - p[1][0], k) for k, p in enumerate(parts) if len(p) > 1]
         choices: list[tuple[float, tuple]] = [(0.0, ())]
-        for _, k in sorted(heapq.nsmallest(self.n - 1, losses)):
-            part = parts[k]
-            choices = heapq.nsmallest(self.n, ((lost + part[0][0] - p[0], (*at, (k, c)) if c else at) for lost, at in choices for c, p in enumerate(part)))
-        total, out = sum(p[0][0] for p in parts), []
+        for _, k in sorted(heapq.nsmallest(n - 1, losses)):
+            part = parts[k] if n <= 2 else whole(k)
+            choices = heapq.nsmallest(n, ((lost + part[0][0] - p[0], (*at, (k, p)) if c else at) for lost, at in choices for c, p in enumerate(part)))
         first = [p[0] for p in parts]
+        total, out = sum([p[0] for p in first]), []
         for lost, at in choices:
             row = first
             if at:
                 row = first.copy()
-                for k, c in at:
-                    row[k] = parts[k][c]
+                for k, p in at:
+                    row[k] = p
             out.append((total - lost, b"".join([p[1] for p in row]), sum([p[2] for p in row])))
         return out
 
+    def _cuts(self, text: str) -> list[str]:
+        cuts = [0, *(i for i, pair in enumerate(zip(text, text[1:], strict=False), 1) if pair not in self.pairs), len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def _word(self, text: str) -> list[Path]:
+        """The two best paths of a word."""
         if (got := self.words.get(text)) is None:
             if len(self.words) >= CACHE:
                 self.words.clear()
-            cuts = [0, *(i for i, pair in enumerate(zip(text, text[1:], strict=False), 1) if pair not in self.pairs), len(text)]
-            got = self.words[text] = self.together([self._stretch(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+            parts = [self._stretch(t) for t in self._cuts(text)]
+            got = self.words[text] = parts[0] if len(parts) == 1 else self.together(parts, 2, None)
         return got
 
+    def _whole_word(self, text: str) -> list[Path]:
+        """The n best paths of a word."""
+        stretches = self._cuts(text)
+        if len(stretches) == 1:
+            return self.search(text, self.n)
+        return self.together([self._stretch(t) for t in stretches], self.n, lambda k: self.search(stretches[k], self.n))
+
     def best(self, text: str) -> list[Path]:
         """The n best paths of a text, fewer if there are not so many; of an
         empty text the empty path alone."""
@@ -133,7 +158,7 @@ class Lattices:
             return [(0.0, b"", 0)]
         # No piece has a space mark after another character, so words start there.
         words = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE))
-        return self.together([self._word(w) for w in words])
+        return self.together([self._word(w) for w in words], self.n, lambda k: self._whole_word(words[k]))
 
     def decode(self, ids: bytes) -> str:
         return self.processor.decode(np.frombuffer(ids, "<u4").tolist())
