@@ -14,10 +14,17 @@ All is exact, and spread:
   buckets (a fixed size). The order is total, and the same for all documents, so
   only short lists need to be built: a posting is (shingle, document).
 * Of each list and band of sizes, documents are first held against one leader,
-  so a large group of near copies costs links in proportion to its size. What a
-  list's documents then have in different components is compared pairwise; lists
-  that are in one component are done. Lists that are too long for a task are
-  dealt by salts, and pairs of salts meet in cells.
+  so a large group of near copies costs links in proportion to its size. Lists
+  that are in one component are then done. Documents of the others that are in
+  different components are compared pairwise inside a task, once for each least
+  document ("head") of the lists that they share, and only pairs that may link
+  leave it. Lists that are too long for a task are dealt by salts, and pairs of
+  salts meet in cells.
+* Before any text is fetched, pairs must pass an exact bound: a set's parity
+  bitmap has a bit for each hash modulo a power of two of at least `BITS` times
+  its size, set if an odd number of its shingles fall there, so two bitmaps
+  differ in no more places than the sets. The halves of a bitmap, one laid on
+  the other, are the bitmap of half the length.
 """
 
 from __future__ import annotations
@@ -36,8 +43,12 @@ from .graph import components
 
 WIDTH = 5
 BUCKETS_BITS = 16
-#: Postings of a list, or of a pair of salts, that a task takes at once.
-LIST_ROWS = 20_000
+#: Bits of a set's parity bitmap for each shingle, and least bits.
+BITS, LEAST_BITS = 4, 512
+#: Documents of a group, or of a salt of it, that are compared in one task.
+GROUP_ROWS = 4096
+#: Postings of a list's bucket for each salt.
+LIST_ROWS = 1_000_000
 #: Ids (of 8 bytes) that are broadcast at most.
 BROADCAST_IDS = 500_000
 #: Postings to a task.
@@ -126,22 +137,38 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) >= need
 
 
+def parity(grams: np.ndarray) -> bytes:
+    size = max(LEAST_BITS, 1 << (BITS * len(grams) - 1).bit_length()) if len(grams) else LEAST_BITS
+    odd = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many places two bitmaps differ, at the length of the shorter."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def described(docs: DataFrame, rank: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_key, short: the short lists' shingles in order."""
+    """doc_id, n_shingles, set_key, bits: the parity bitmap, short: the short
+    lists' shingles in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, short = [], [], []
+            sizes, keys, short, bits = [], [], [], []
             for text in batch.column(1):
                 grams = ordered(shingles(text.as_py(), width), rank)
                 sizes.append(len(grams))
                 keys.append(xxhash.xxh3_128_digest(grams.tobytes()))
                 short.append(grams[: len(grams) - required(len(grams)) + 1] if len(grams) else grams)
+                bits.append(parity(grams))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in short])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*short, np.empty(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "bits", "short"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, short array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bits binary, short array<long>")
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
@@ -171,51 +198,58 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = np.repeat((np.diff(whole) > 1) | (x["hot"][whole[:-1]]), np.diff(whole))
     part = _runs(x["s"], x["salt"], band[order])
     first = np.repeat(part[:-1], np.diff(part))
-    out = {"s": x["s"], "salt": x["salt"], "hot": x["hot"], "node": x["node"], "n": x["n"], "pos": x["pos"], "leader": x["node"][first], "leader_pos": x["pos"][first], "leader_n": x["n"][first]}
+    out = {"s": x["s"], "salt": x["salt"], "hot": x["hot"], "node": x["node"], "n": x["n"], "pos": x["pos"], "leader": x["node"][first], "leader_pos": x["pos"][first], "leader_n": x["n"][first], "head": np.minimum.reduceat(x["node"], whole[:-1]).repeat(np.diff(whole))}
     for at in range(0, len(kept), 50_000):
         k = slice(at, at + 50_000)
         if kept[k].any():
             yield pa.RecordBatch.from_arrays([pa.array(v[k][kept[k]]) for v in out.values()], list(out))
 
 
-LED = "s long, salt int, hot boolean, node long, n int, pos int, leader long, leader_pos int, leader_n int"
-PAIRS = "a long, b long, a_n int, b_n int, a_pos int, b_pos int"
+LED = "s long, salt int, hot boolean, node long, n int, pos int, leader long, leader_pos int, leader_n int, head long"
+PAIRS = "a long, b long"
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list's documents that are in different components and of
-    fitting sizes. A cell (lo, hi) of two salts pairs across them only."""
-    x = _arrays(batches)
-    if not x:
+    """Pairs of a group's documents that are in different components and may
+    link by their sizes and bitmaps. A cell (lo, hi) of two salts pairs across
+    them only."""
+    held = [b for b in batches if len(b)]
+    if not held:
         return
-    order = np.lexsort((x["node"], x["hi"], x["lo"], x["s"]))
-    x = {c: v[order] for c, v in x.items()}
-    runs = _runs(x["s"], x["lo"], x["hi"])
-    size = np.diff(runs)
-
-    def pairs(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
-        a, b = np.minimum(x["n"][i], x["n"][j]), np.maximum(x["n"][i], x["n"][j])
-        fit = (x["component"][i] != x["component"][j]) & (4 * a.astype(np.int64) >= 3 * b) & ((x["lo"][i] == x["hi"][i]) | (x["salt"][i] != x["salt"][j]))
-        i, j = i[fit], j[fit]
-        if not len(i):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (x["node"][i], x["node"][j], x["n"][i], x["n"][j], x["pos"][i], x["pos"][j])], [c.split()[0] for c in PAIRS.split(", ")])
-
-    for n in np.unique(size[size > 1]):
-        starts = runs[:-1][size == n]
-        if n <= 256:
-            up, down = np.triu_indices(n, 1)
-            step = max(1, 200_000 // len(up))
-            for at in range(0, len(starts), step):
-                s = starts[at : at + step, None]
-                if (out := pairs((s + up).ravel(), (s + down).ravel())) is not None:
-                    yield out
-        else:
-            for s in starts:
-                for i in range(s, s + n - 1):
-                    j = np.arange(i + 1, s + n)
-                    if (out := pairs(np.full(len(j), i), j)) is not None:
-                        yield out
+    x = {c: np.concatenate([np.asarray(b.column(i)) for b in held]) for i, c in enumerate(held[0].schema.names) if c != "bits"}
+    bits = [v for b in held for v in b.column(b.schema.get_field_index("bits")).to_pylist()]
+    order = np.lexsort((x["n"], x["hi"], x["lo"], x["key"], x["hot"]))
+    x, bits = {c: v[order] for c, v in x.items()}, [bits[i] for i in order]
+    runs = _runs(x["hot"], x["key"], x["lo"], x["hi"])
+    found: list[np.ndarray] = []
+    for s, e in zip(runs[:-1], runs[1:], strict=True):
+        n, node, comp, salt, cell = x["n"][s:e].astype(np.int64), x["node"][s:e], x["component"][s:e], x["salt"][s:e], x["lo"][s] != x["hi"][s]
+        if len(n) < 2 or (comp == comp[0]).all():
+            continue
+        # Rows are in order of size, so fitting partners are a stretch behind
+        # each, with bitmaps of the same length or of twice it.
+        last, long = np.searchsorted(3 * n, 4 * n, "right"), np.array([len(v) for v in bits[s:e]])
+        for size in np.unique(long):
+            low, high, top = (int(np.searchsorted(long, v, side)) for v, side in ((size, "left"), (size, "right"), (2 * size, "right")))
+            maps = np.frombuffer(b"".join(bits[s + low : s + high]), np.uint64).reshape(high - low, -1)
+            if top > high and long[high] == 2 * size:
+                twice = np.frombuffer(b"".join(bits[s + high : s + top]), np.uint64).reshape(top - high, 2, -1)
+                maps = np.concatenate([maps, twice[:, 0] ^ twice[:, 1]])
+            for i in range(low, high):
+                j = slice(i + 1, min(last[i], low + len(maps)))
+                if j.stop <= j.start:
+                    continue
+                far = np.bitwise_count(maps[i - low] ^ maps[j.start - low : j.stop - low]).sum(axis=1, dtype=np.int64)
+                fit = (7 * far <= n[i] + n[j]) & (comp[j] != comp[i])
+                if cell:
+                    fit &= salt[j] != salt[i]
+                if fit.any():
+                    other = node[j][fit]
+                    found.append(np.stack([np.minimum(node[i], other), np.maximum(node[i], other)]))
+    if found:
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        for at in range(0, pairs.shape[1], 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in pairs[:, at : at + 50_000]], ["a", "b"])
 
 
 def _reaching(pairs: DataFrame) -> DataFrame:
@@ -226,6 +260,19 @@ def _reaching(pairs: DataFrame) -> DataFrame:
     return merged.where(7 * (F.col("common") + rest) >= 3 * (F.col("a_n") + F.col("b_n"))).where(4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")).select("a", "b")
 
 
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps differ in few enough places to link."""
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("bits").alias(f"{c}_bits"), F.col("n_shingles").alias(f"{c}_n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            n = np.asarray(batch.column(4)) + np.asarray(batch.column(5))
+            yield batch.select(["a", "b"]).filter(pa.array([7 * apart(v, w) <= k for v, w, k in zip(a, b, n.tolist(), strict=True)], pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_bits", "b_bits", "a_n", "b_n").mapInArrow(run, PAIRS)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) that link, by their documents' whole texts. Only texts of
     documents in pairs move; while those are few (BROADCAST_IDS, counted), their
@@ -270,10 +317,10 @@ def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sets = settled(described(docs, rank, width), "sets")
     classes = settled(sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
 
-    held = sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+    held = sets.select("doc_id", "n_shingles", "short").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     # A bucket holds many shingles, so its count bounds each list from above.
     bits = len(counts).bit_length() - 1
-    salts = np.maximum(1, np.sort(counts) // (50 * LIST_ROWS)).astype(np.int32)  # by rank
+    salts = np.maximum(1, np.sort(counts) // LIST_ROWS).astype(np.int32)  # by rank
     hot = [(r, int(s)) for r, s in enumerate(salts.tolist()) if s > 1]
     post = held.select(F.posexplode("short").alias("pos", "s"), F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"))
     if hot:
@@ -291,15 +338,20 @@ def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     tops = led.where("hot and node = leader").groupBy("s", F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3)).alias("band")).agg(F.min(F.struct("node", "n", "pos")).alias("top"))
     across = led.where("hot and node = leader").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3))).join(tops, ["s", "band"]).where(F.col("node") != F.col("top.node"))
     star = star.unionByName(across.select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.n").alias("a_n"), F.col("n").alias("b_n"), F.col("top.pos").alias("a_pos"), F.col("pos").alias("b_pos")))
-    links = settled(_verified(_reaching(star), docs, width), "links")
+    links = settled(_verified(_alike(_reaching(star), sets), docs, width), "links")
     near = settled(components(links), "near")
 
-    told = led.select("s", "node", "n", "pos").join(near, "node", "left").select("s", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
-    open_lists = told.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("s", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("salts"))
-    cells = told.join(open_lists, "s").withColumn("salt", F.pmod(F.hash("node"), F.col("salts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    cells = cells.select("s", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "node", "n", "pos", "component")
-    more = cells.repartition(parts, "s", "lo", "hi").mapInArrow(_cross, PAIRS)
-    links = links.unionByName(settled(_verified(_reaching(more), docs, width), "more"))
+    # What is left: lists with documents of several components, by their heads.
+    key = F.when(F.col("hot"), F.col("s")).otherwise(F.col("head")).alias("key")
+    told = led.select("hot", key, "s", "node", "n").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_lists = told.groupBy("hot", "key", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hot", "key", "s")
+    rows = settled(told.join(open_lists, ["hot", "key", "s"]).select("hot", "key", "node", "n", "component").distinct(), "open")
+    sizes = rows.groupBy("hot", "key").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("salts"))
+    cells = rows.join(sizes, ["hot", "key"]).withColumn("salt", F.pmod(F.hash("node"), F.col("salts")).cast("int")).join(sets.select(F.col("doc_id").alias("node"), "bits"), "node")
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    cells = cells.select("hot", "key", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "node", "n", "component", "bits")
+    more = cells.repartition(parts, "hot", "key", "lo", "hi").mapInArrow(_cross, PAIRS).distinct()
+    links = links.unionByName(settled(_verified(more, docs, width), "more"))
     whole = components(links)
 
     named = sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
