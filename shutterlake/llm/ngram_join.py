@@ -198,14 +198,14 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = np.repeat((np.diff(whole) > 1) | (x["hot"][whole[:-1]]), np.diff(whole))
     part = _runs(x["s"], x["salt"], band[order])
     first = np.repeat(part[:-1], np.diff(part))
-    out = {"s": x["s"], "salt": x["salt"], "hot": x["hot"], "node": x["node"], "n": x["n"], "pos": x["pos"], "leader": x["node"][first], "leader_pos": x["pos"][first], "leader_n": x["n"][first], "head": np.minimum.reduceat(x["node"], whole[:-1]).repeat(np.diff(whole))}
+    out = {"s": x["s"], "salt": x["salt"], "hot": x["hot"], "node": x["node"], "n": x["n"], "pos": x["pos"], "leader": x["node"][first], "leader_pos": x["pos"][first], "leader_n": x["n"][first], "head": np.minimum.reduceat(x["node"], whole[:-1]).repeat(np.diff(whole)), "band": band[order].astype(np.int32)}
     for at in range(0, len(kept), 50_000):
         k = slice(at, at + 50_000)
         if kept[k].any():
             yield pa.RecordBatch.from_arrays([pa.array(v[k][kept[k]]) for v in out.values()], list(out))
 
 
-LED = "s long, salt int, hot boolean, node long, n int, pos int, leader long, leader_pos int, leader_n int, head long"
+LED = "s long, salt int, hot boolean, node long, n int, pos int, leader long, leader_pos int, leader_n int, head long, band int"
 PAIRS = "a long, b long"
 
 
@@ -343,10 +343,13 @@ def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     # What is left: lists with documents of several components, by their heads.
     key = F.when(F.col("hot"), F.col("s")).otherwise(F.col("head")).alias("key")
-    told = led.select("hot", key, "s", "node", "n").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = led.select("hot", key, "s", "node", "n", "band").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_lists = told.groupBy("hot", "key", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hot", "key", "s")
-    rows = settled(told.join(open_lists, ["hot", "key", "s"]).select("hot", "key", "node", "n", "component").distinct(), "open")
-    sizes = rows.groupBy("hot", "key").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("salts"))
+    rows = settled(told.join(open_lists, ["hot", "key", "s"]).select("hot", "key", "node", "n", "band", "component").distinct(), "open")
+    # Two of one band were held against each other above, by all that they share,
+    # unless they share a list of an earlier head, whose group has them too.
+    pair = (F.count("*") == 2) & (F.min("band") == F.max("band")) & ~F.col("hot")
+    sizes = rows.groupBy("hot", "key").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("salts"), pair.alias("done")).where("not done").drop("done")
     cells = rows.join(sizes, ["hot", "key"]).withColumn("salt", F.pmod(F.hash("node"), F.col("salts")).cast("int")).join(sets.select(F.col("doc_id").alias("node"), "bits"), "node")
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     cells = cells.select("hot", "key", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "node", "n", "component", "bits")
