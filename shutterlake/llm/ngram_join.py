@@ -317,7 +317,11 @@ def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sets = settled(described(docs, rank, width), "sets")
     classes = settled(sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
 
-    held = sets.select("doc_id", "n_shingles", "short").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+    named = sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    named = settled(named.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "named")
+    copies = settled(named.where("doc_id <> class_id").select("doc_id").distinct(), "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    held = sets.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "short").join(copies, "doc_id", "left_anti")
     # A bucket holds many shingles, so its count bounds each list from above.
     bits = len(counts).bit_length() - 1
     salts = np.maximum(1, np.sort(counts) // LIST_ROWS).astype(np.int32)  # by rank
@@ -357,7 +361,6 @@ def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     links = links.unionByName(settled(_verified(more, docs, width), "more"))
     whole = components(links)
 
-    named = sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return named.join(whole, F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
