@@ -173,8 +173,8 @@ def queries() -> dict:
         "g1_subject_knn": (lambda c: _knn(c).select("id", "other", _r(F.col("score")).alias("score")), sql(KNN + ">> SELECT id, other, round(score, 6) AS score FROM knn", "face_vectors")),
         "g2_mutual_edges": (lambda c: _mutual(c).select("face_a", "face_b", _r(F.col("weight")).alias("weight")), sql(MUTUAL + ">> SELECT face_a, face_b, round(weight, 6) AS weight FROM mutual", "face_vectors")),
         "g3_constrained": (lambda c: _clusters(c), None),
-        "g4_components": (lambda c: G.components(c.face_vectors.select("id"), _edges(c).where("face_b < 500").select(F.col("face_a").alias("a"), F.col("face_b").alias("b"))), _recursive(sql(EDGES + ", linked_ AS (SELECT * FROM edges WHERE face_b < 500)" + REACH.format(e="linked_") + ">> SELECT id, component FROM comp WHERE id < 500 OR id IN (SELECT id FROM nodes)", "face_vectors"))),
-        "a11_component_sizes": (lambda c: G.components(c.face_vectors.select("id"), _edges(c).where("face_b < 500").select(F.col("face_a").alias("a"), F.col("face_b").alias("b"))).join(c.face_vectors.select("id", "subject_id"), "id").groupBy("component").agg(F.count("*").alias("size"), F.countDistinct("subject_id").alias("subjects")), _recursive(sql(EDGES + ", linked_ AS (SELECT * FROM edges WHERE face_b < 500)" + REACH.format(e="linked_") + ">> SELECT component, count(*) AS size, count(DISTINCT subject_id) AS subjects FROM comp JOIN face_vectors USING (id) GROUP BY 1", "face_vectors"))),
+        "g4_components": (lambda c: G.components(c.face_vectors.select("id"), _edges(c).select(F.col("face_a").alias("a"), F.col("face_b").alias("b"))), _recursive(sql(EDGES + ", linked_ AS (SELECT * FROM edges WHERE face_b < 500)" + REACH.format(e="linked_") + ">> SELECT id, component FROM comp WHERE id < 500 OR id IN (SELECT id FROM nodes)", "face_vectors"))),
+        "a11_component_sizes": (lambda c: G.components(c.face_vectors.select("id"), _edges(c).select(F.col("face_a").alias("a"), F.col("face_b").alias("b"))).join(c.face_vectors.select("id", "subject_id"), "id").groupBy("component").agg(F.count("*").alias("size"), F.countDistinct("subject_id").alias("subjects")), _recursive(sql(EDGES + ", linked_ AS (SELECT * FROM edges WHERE face_b < 500)" + REACH.format(e="linked_") + ">> SELECT component, count(*) AS size, count(DISTINCT subject_id) AS subjects FROM comp JOIN face_vectors USING (id) GROUP BY 1", "face_vectors"))),
         "g5_label_actions": (lambda c: G.label_actions(_chains(c), c.face_vectors, _labels(c)), _recursive(sql(EDGES + ", linked_ AS (SELECT * FROM edges WHERE face_b < 500)" + REACH.format(e="linked_") + ", " + LABELS + ", met AS (SELECT component AS cluster, count(*) AS size, count(*) FILTER (subject_id IS NULL) AS unlabeled, count(DISTINCT subject_id) AS subjects, min(subject_id) AS one, coalesce(bool_or(name IS NOT NULL) FILTER (subject_id IS NOT NULL), false) AS named FROM comp JOIN face_vectors f USING (id) LEFT JOIN labels_ l ON l.id = f.subject_id GROUP BY 1) >> SELECT cluster, size, unlabeled, subjects, CASE WHEN subjects = 1 THEN one END AS subject_id, CASE WHEN subjects = 0 THEN CASE WHEN size >= 2 THEN 'new_subject' ELSE 'noise' END WHEN subjects = 1 THEN CASE WHEN unlabeled > 0 THEN 'assign_all' ELSE 'none' END WHEN named THEN 'suggest_merge' ELSE 'none' END AS action FROM met", "face_vectors"))),
         "g6_relabel": (lambda c: _relabelled(c), None),
         "g7_reconcile": (lambda c: G.reconciled(_detections(c), c.faces.where("image_id % 10 = 0")), None),
@@ -264,7 +264,7 @@ def _described(c: Catalog):
 
 
 def _chains(c: Catalog):
-    e = _edges(c).where("face_b < 500").select(F.col("face_a").alias("a"), F.col("face_b").alias("b"))
+    e = _edges(c).select(F.col("face_a").alias("a"), F.col("face_b").alias("b"))
     return G.components(c.face_vectors.select("id"), e).select("id", F.col("component").alias("cluster"))
 
 
