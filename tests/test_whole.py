@@ -2,6 +2,7 @@
 
 import pytest
 
+from shutterlake.fixtures import Catalog
 from shutterlake.plans import registry
 
 
@@ -30,3 +31,13 @@ def test_relabelled_over_all_ids(spark, many_vectors):
     """Unlabelled faces take the one subject of their cluster, high ids like low ones."""
     got = {r["id"]: r["subject_id"] for r in registry.queries()["g6_relabel"](spark, many_vectors).collect()}
     assert got == {k: k // 4 % 10 for k in range(700)}
+
+
+def test_reconciled_over_all_images(spark):
+    """Each image that has detections is in the result, whatever its id."""
+    at = "/root/testdata/sf0.001"
+    faces = [(r["image_id"], r["id"]) for r in Catalog(spark, at).faces.select("image_id", "id").collect()]
+    got = registry.queries()["g7_reconcile"](spark, at).collect()
+    assert {r["image_id"] for r in got} == {image for image, k in faces if k % 4 != 1}
+    touched = {r["face_id"] for r in got if r["face_id"] is not None}
+    assert touched == {k for image, k in faces if image in {r["image_id"] for r in got}}
