@@ -31,6 +31,8 @@ MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "<urn:page:%s>"
 DATE = "2000-01-01T00:00:00Z"
+#: Bytes inflated at a time while a header's end is sought.
+HEADER_STEP = 1 << 16
 
 MANIFEST = "path string, bytes long, records long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -111,9 +113,11 @@ def _header(text: bytes) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if "warc-type" in fields and fields.get("content-length", "").isdigit() else None
 
 
-def records_in(source, start: int, end: int, step: int = 1 << 20, most_header: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
+def records_in(source, start: int, end: int, step: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record of a seekable file whose gzip
-    member starts at start <= p < end. Memory: the range's window and a record."""
+    member starts at start <= p < end. A member that begins like a record is
+    inflated until its header ends, however long it is. Memory: the range's
+    window and a record."""
     size = source.size()
     p, window, base = start, b"", start
 
@@ -134,7 +138,7 @@ def records_in(source, start: int, end: int, step: int = 1 << 20, most_header: i
         p = base + k
         if p >= end:
             return
-        inflate, got, found = zlib.decompressobj(31), bytearray(), None
+        inflate, got, found, searched = zlib.decompressobj(31), bytearray(), None, 0
         pending, at = window[k:], base + len(window)  # at: where the file goes on after pending
         try:
             while not inflate.eof:
@@ -143,10 +147,15 @@ def records_in(source, start: int, end: int, step: int = 1 << 20, most_header: i
                     at += len(pending)
                     if not pending:
                         break
-                got += inflate.decompress(pending, 0 if found else most_header - len(got))
+                got += inflate.decompress(pending, 0 if found else HEADER_STEP)
                 pending = inflate.unconsumed_tail
-                if found is None and (found := _header(bytes(got))) is None and (len(got) >= most_header or got[:7] != b"WARC/1."[: len(got)]):
-                    break
+                if found is None:
+                    if got[:7] != b"WARC/1."[: len(got)]:
+                        break
+                    ended = got.find(b"\r\n\r\n", max(0, searched - 3)) >= 0
+                    if ended and (found := _header(bytes(got))) is None:
+                        break
+                    searched = len(got)
         except zlib.error:
             found = None
         if found is None or not inflate.eof:
@@ -206,11 +215,20 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return out
 
 
-def round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
+def checked(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """records, settled; an error if they are not as many as the manifest states."""
+    records = settled(records, "records")
+    read, written = records.count(), manifest.agg(F.sum("records")).first()[0] or 0
+    if read != written:
+        raise ValueError(f"{read} records read of {written} written")
+    return records
+
+
+def round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0, payloads: bool = True) -> DataFrame:
     """Writes pages to archives in the shared folder and reads them back."""
     manifest = write_archives(decided(pages, min_revisit_bytes), fresh_path(spark, "warc"))
-    return read_archives(manifest)
+    return checked(read_archives(manifest, payloads=payloads), manifest)
 
 
 def op6(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    return round_trip(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return round_trip(spark, pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
