@@ -47,6 +47,8 @@ BUCKETS_BITS = 16
 BITS, LEAST_BITS = 4, 512
 #: Documents of a group, or of a salt of it, that are compared in one task.
 GROUP_ROWS = 4096
+#: Documents of a component, or of a salt of it, whose links are counted in one task.
+COUNT_ROWS = 256
 #: Postings of a list's bucket for each salt.
 LIST_ROWS = 1_000_000
 #: Ids (of 8 bytes) that are broadcast at most.
@@ -364,6 +366,65 @@ def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return named.join(whole, F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, links: a document's links in a cell, each counted as the rows of
+    the other's class. Rows come in order of cells; one cell is held at a time."""
+
+    def count(cell: list[tuple]) -> pa.RecordBatch:
+        nodes = np.array([r[3] for r in cell], np.int64)
+        salt, weight = np.array([r[4] for r in cell]), np.array([r[5] for r in cell], np.int64)
+        sets = [shingles(r[6], r[7]) for r in cell]
+        n = np.array([len(v) for v in sets], np.int64)
+        owner = np.repeat(np.arange(len(cell)), n)
+        _, list_ = np.unique(np.concatenate(sets), return_inverse=True)
+        owners, ends = owner[np.argsort(list_, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(list_))])
+        apart, at, links = cell[0][1] != cell[0][2], np.concatenate([[0], np.cumsum(n)]), []
+        for i in range(len(cell)):
+            met = np.concatenate([owners[ends[k] : ends[k + 1]] for k in list_[at[i] : at[i + 1]]])
+            fit = 7 * np.bincount(met, minlength=len(cell)) >= 3 * (n + n[i])
+            fit &= (nodes != nodes[i]) & ((salt != salt[i]) if apart else True)
+            links.append(int(weight[fit].sum()))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links, pa.int64())], ["node", "links"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield count(held)
+                held = []
+            held.append(row)
+    if held:
+        yield count(held)
+
+
+def counted(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """joined() with n_links: how many other rows a document links with, those
+    with the same set among them.
+
+    Links are inside components, so the least documents of classes meet there,
+    in cells of at most COUNT_ROWS by COUNT_ROWS; overlaps are counted on all
+    inverted lists of a cell, and a link counts as the rows of the other's class.
+    """
+    spark: SparkSession = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = settled(joined(docs, width), "joined")
+    sizes = rows.where("n_shingles > 0").groupBy("class_id").agg(F.count("*").alias("copies"))
+    reps = rows.where("doc_id = class_id and n_shingles > 0").select("doc_id", "component_id").distinct()
+    groups = reps.groupBy("component_id").agg(F.ceil(F.count("*") / COUNT_ROWS).cast("int").alias("salts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = settled(reps.join(groups, "component_id").join(sizes.withColumnRenamed("class_id", "doc_id"), "doc_id"), "members")
+    ids = members.select("doc_id")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    cells = members.withColumn("salt", F.pmod(F.hash("doc_id"), F.col("salts")).cast("int")).join(texts, "doc_id")
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    cells = cells.select("component_id", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), F.col("doc_id").alias("node"), "salt", "copies", "text", F.lit(width).alias("width"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = cells.repartition(parts, "component_id", "lo", "hi").sortWithinPartitions("component_id", "lo", "hi").mapInArrow(_links, "node long, links long")
+    found = settled(found, "counts").groupBy("node").agg(F.sum("links").alias("links"))
+    held = rows.join(sizes, "class_id", "left").join(found, F.col("class_id") == F.col("node"), "left")
+    links = F.when(F.col("n_shingles") > 0, F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).otherwise(F.lit(0))
+    return held.select("doc_id", "n_shingles", "class_id", "component_id", links.cast("long").alias("n_links"))
+
+
 def representatives(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs that are the least of their component, all columns. Rows
     without words, or without a doc_id, stay."""
@@ -373,4 +434,4 @@ def representatives(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    return joined(docs).select("doc_id", "n_shingles", "component_id", "class_id")
+    return counted(docs).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")

@@ -3,9 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.llm import warc
+from shutterlake.llm import ngram_join, warc
 from shutterlake.llm.common import fresh_path
 
+from . import reference as plain
+from .test_near import corpus
+
 
 def test_pages_with_very_long_urls(spark):
     urls = {1: "http://x/" + "a" * 300_000, 2: "http://x/" + " %" * 40_000, 3: "http://x/3"}
@@ -20,3 +23,12 @@ def test_records_that_are_not_read_are_noticed(spark):
     assert warc.checked(warc.read_archives(manifest), manifest).count() == 4
     with pytest.raises(ValueError, match="4 records read of"):
         warc.checked(warc.read_archives(manifest), manifest.withColumn("records", F.col("records") + 1))
+
+
+@pytest.mark.parametrize("cell", [256, 3])
+def test_every_link_is_counted(make_docs, monkeypatch, cell):
+    monkeypatch.setattr(ngram_join, "COUNT_ROWS", cell)
+    rows = corpus(3)
+    sets = {i: plain.shingles(t) for i, t in rows}
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.op4(make_docs(rows)).collect()}
+    assert got == {i: sum(j != i and plain.linked(s, sets[j]) for j in sets) for i, s in sets.items()}
