@@ -35,9 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import grams
 from .common import settled
 from .graph import components
 
@@ -46,52 +47,17 @@ BUCKETS_BITS = 16
 #: Bits of a set's parity bitmap for each shingle, and least bits.
 BITS, LEAST_BITS = 4, 512
 #: Documents of a group, or of a salt of it, that are compared in one task.
-GROUP_ROWS = 4096
+GROUP_ROWS = 512
 #: Documents of a component, or of a salt of it, whose links are counted in one task.
 COUNT_ROWS = 256
 #: Postings of a list's bucket for each salt.
 LIST_ROWS = 1_000_000
-#: Ids (of 8 bytes) that are broadcast at most.
-BROADCAST_IDS = 500_000
+#: Ids and keys (of 24 bytes) that are broadcast at most.
+BROADCAST_IDS = 200_000
 #: Postings to a task.
 TASK_ROWS = 1_000_000
 
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """64-bit hashes of words; starts again when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = WordHashes()
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of a text's runs of `width` words (bytes.split
-    parts at exactly U+0020 and U+0009 to U+000D); of the whole sequence if
-    shorter; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    runs = max(1, len(words) - width + 1)
-    out = np.full(runs, min(width, len(words)), np.uint64)
-    for k in range(min(width, len(words))):
-        out = out * _MULTIPLIER + h[k : k + runs]
-    return np.unique(_mixed(out))
+shingles = grams.set_of
 
 
 def bucket_counts(docs: DataFrame, bits: int = BUCKETS_BITS, width: int = WIDTH) -> np.ndarray:
@@ -100,8 +66,8 @@ def bucket_counts(docs: DataFrame, bits: int = BUCKETS_BITS, width: int = WIDTH)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, waiting = np.zeros(1 << bits, np.int64), [], 0
         for batch in batches:
-            for text in batch.column(0):
-                held.append(shingles(text.as_py(), width) >> np.uint64(64 - bits))
+            for found in grams.sets(batch.column(0), width):
+                held.append(found >> np.uint64(64 - bits))
                 waiting += len(held[-1])
                 if waiting > 1 << 20:
                     total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
@@ -154,23 +120,44 @@ def apart(a: bytes, b: bytes) -> int:
 
 
 def described(docs: DataFrame, rank: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_key, bits: the parity bitmap, short: the short
-    lists' shingles in order."""
+    """row (a number of its own), doc_id, text_key (64-bit hash), n_shingles,
+    set_key, bits: the parity bitmap, short: the short lists' shingles in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, short, bits = [], [], [], []
-            for text in batch.column(1):
-                grams = ordered(shingles(text.as_py(), width), rank)
-                sizes.append(len(grams))
-                keys.append(xxhash.xxh3_128_digest(grams.tobytes()))
-                short.append(grams[: len(grams) - required(len(grams)) + 1] if len(grams) else grams)
-                bits.append(parity(grams))
+            for found in grams.sets(batch.column(2), width):
+                found = ordered(found, rank)
+                sizes.append(len(found))
+                keys.append(xxhash.xxh3_128_digest(found.tobytes()))
+                short.append(found[: len(found) - required(len(found)) + 1] if len(found) else found)
+                bits.append(parity(found))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in short])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*short, np.empty(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "bits", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), lists], ["doc_id", "text_key", "n_shingles", "set_key", "bits", "short"])
+
+    rows = docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, bits binary, short array<long>")
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bits binary, short array<long>")
+
+def postings(held: DataFrame, salts: np.ndarray) -> DataFrame:
+    """s, salt, hot, node, n, pos: a row an entry of a row's short lists. salts:
+    among how many the lists of a bucket are dealt, by rank."""
+    shift = np.uint64(64 - (len(salts).bit_length() - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
+            long = np.diff(np.asarray(lists.offsets))
+            s = np.asarray(lists.flatten()).view(np.uint64)
+            pos = np.arange(len(s)) - np.repeat(np.cumsum(long) - long, long)
+            node, n, many = np.repeat(node, long), np.repeat(n, long), salts[(s >> shift).astype(np.int64)]
+            salt = grams.mixed(node.astype(np.uint64)) % many.astype(np.uint64)
+            out = {"s": s.view(np.int64), "salt": salt.astype(np.int32), "hot": many > 1, "node": node, "n": n.astype(np.int32), "pos": pos.astype(np.int32)}
+            for at in range(0, len(s), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000]) for v in out.values()], list(out))
+
+    return held.select("node", "n_shingles", "short").mapInArrow(run, "s long, salt int, hot boolean, node long, n int, pos int")
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
@@ -226,7 +213,9 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: list[np.ndarray] = []
     for s, e in zip(runs[:-1], runs[1:], strict=True):
         n, node, comp, salt, cell = x["n"][s:e].astype(np.int64), x["node"][s:e], x["component"][s:e], x["salt"][s:e], x["lo"][s] != x["hi"][s]
-        if len(n) < 2 or (comp == comp[0]).all():
+        # Two of one band were held against each other before, by all that they
+        # share, unless they share a list of an earlier head, whose group has them too.
+        if len(n) < 2 or (comp == comp[0]).all() or len(n) == 2 and not cell and not x["hot"][s] and (x["band"][s:e] == x["band"][s]).all():
             continue
         # Rows are in order of size, so fitting partners are a stretch behind
         # each, with bitmaps of the same length or of twice it.
@@ -264,7 +253,7 @@ def _reaching(pairs: DataFrame) -> DataFrame:
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose bitmaps differ in few enough places to link."""
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("bits").alias(f"{c}_bits"), F.col("n_shingles").alias(f"{c}_n"))
+    side = lambda c: sets.select(F.col("row").alias(c), F.col("bits").alias(f"{c}_bits"), F.col("n_shingles").alias(f"{c}_n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,76 +264,82 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_bits", "b_bits", "a_n", "b_n").mapInArrow(run, PAIRS)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) that link, by their documents' whole texts. Only texts of
-    documents in pairs move; while those are few (BROADCAST_IDS, counted), their
-    ids are sent to the scan."""
+def texts_of(nodes: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the rows wanted (once for each equal row of docs). Only
+    these texts move; while they are few (BROADCAST_IDS, counted), their keys are
+    sent to the scan."""
+    wanted = settled(sets.join(nodes.withColumnRenamed("node", "row"), "row", "left_semi").select(F.col("row").alias("node"), F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key")), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return docs.join(wanted, (F.col("text_key") == F.col("its_key")) & F.col("doc_id").eqNullSafe(F.col("its_id"))).select("node", "text")
+
+
+class Recent:
+    """Sets of the rows met last, of at most `most` bytes besides the newest."""
+
+    def __init__(self, width: int, most: int = 32 << 20):
+        self.width, self.most, self.size, self.held = width, most, 0, {}
+
+    def get(self, node: int, text: pa.Scalar) -> np.ndarray:
+        if (found := self.held.get(node)) is None:
+            found = shingles(text.as_py(), self.width)
+            while self.held and self.size + found.nbytes > self.most:
+                self.size -= self.held.pop(next(iter(self.held))).nbytes
+            self.held[node] = found
+            self.size += found.nbytes
+        return found
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) that link, by their rows' whole texts."""
     pairs = settled(pairs, "pairs")
-    ids = settled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), sets, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held = Recent(width)
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for x, y, s, t in zip(a, b, batch.column(2), batch.column(3), strict=True):
-                for node, text in ((x, s), (y, t)):
-                    if node not in held:
-                        if len(held) >= 256:
-                            held.pop(next(iter(held)))
-                        held[node] = shingles(text.as_py(), width)
-                keep.append(linked(held[x], held[y]) if x in held and y in held else linked(shingles(s.as_py(), width), shingles(t.as_py(), width)))
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (a, b)], ["a", "b"])
+            keep = [linked(held.get(x, s), held.get(y, t)) for x, y, s, t in zip(a, b, batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a")
-    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
-    return both.mapInArrow(run, "a long, b long")
+    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
+    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+    return both.mapInArrow(run, PAIRS)
 
 
-def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, a row a row of docs.
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key. Rows are told apart by the first and the last;
+    rows equal in both have equal texts."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_key"))
 
-    class_id is the least doc_id with the same set, component_id the least that
-    links reach. Documents link if 100 * intersection >= 75 * union of their
-    sets of shingles. Without words, or with a null text, a document is in no
-    class but its own. doc_id must be unique and not null; a repeated doc_id
-    makes its rows one document in links, each with its own n_shingles.
-    """
+
+def compared(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of keyed docs: sets (see described, settled); classes: set_key, node (the
+    least row of the class), class_id (its least doc_id), copies; near: node and
+    component, a number, of classes with links."""
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = bucket_counts(docs, width=width)
     rank = np.empty(len(counts), np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
     sets = settled(described(docs, rank, width), "sets")
-    classes = settled(sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = settled(sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
 
-    named = sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    named = settled(named.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "named")
-    copies = settled(named.where("doc_id <> class_id").select("doc_id").distinct(), "copies")
+    copies = classes.where("copies > 1").select("set_key", F.col("node").alias("first"))
+    copies = settled(sets.select("row", "set_key").join(copies, "set_key").where("row <> first").select("row"), "copies")
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    held = sets.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "short").join(copies, "doc_id", "left_anti")
+    held = sets.where("n_shingles > 0").join(copies, "row", "left_anti").withColumnRenamed("row", "node")
     # A bucket holds many shingles, so its count bounds each list from above.
-    bits = len(counts).bit_length() - 1
     salts = np.maximum(1, np.sort(counts) // LIST_ROWS).astype(np.int32)  # by rank
-    hot = [(r, int(s)) for r, s in enumerate(salts.tolist()) if s > 1]
-    post = held.select(F.posexplode("short").alias("pos", "s"), F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"))
-    if hot:
-        table = F.create_map(*(F.lit(v) for pair in hot for v in pair))
-        post = post.withColumn("salts", F.coalesce(F.get(F.map_values(F.map_filter(table, lambda k, _: k == F.shiftrightunsigned("s", 64 - bits).cast("int"))), F.lit(0)), F.lit(1)))
-    else:
-        post = post.withColumn("salts", F.lit(1))
-    post = post.select("s", F.pmod(F.hash("node"), F.col("salts")).cast("int").alias("salt"), (F.col("salts") > 1).alias("hot"), "node", "n", "pos")
     total = sets.select(F.sum(F.size("short"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
-    led = settled(post.repartition(parts, "s", "salt").mapInArrow(_lead, LED), "led")
+    led = settled(postings(held, salts).repartition(parts, "s", "salt").mapInArrow(_lead, LED), "led")
 
     star = led.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("a_n"), F.col("n").alias("b_n"), F.col("leader_pos").alias("a_pos"), F.col("pos").alias("b_pos"))
     # Leaders of one list's salts are held against the first of them.
-    tops = led.where("hot and node = leader").groupBy("s", F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3)).alias("band")).agg(F.min(F.struct("node", "n", "pos")).alias("top"))
-    across = led.where("hot and node = leader").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3))).join(tops, ["s", "band"]).where(F.col("node") != F.col("top.node"))
+    tops = led.where("hot and node = leader").groupBy("s", "band").agg(F.min(F.struct("node", "n", "pos")).alias("top"))
+    across = led.where("hot and node = leader").join(tops, ["s", "band"]).where(F.col("node") != F.col("top.node"))
     star = star.unionByName(across.select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.n").alias("a_n"), F.col("n").alias("b_n"), F.col("top.pos").alias("a_pos"), F.col("pos").alias("b_pos")))
-    links = settled(_verified(_alike(_reaching(star), sets), docs, width), "links")
+    links = settled(_verified(_alike(_reaching(star), sets), sets, docs, width), "links")
     near = settled(components(links), "near")
 
     # What is left: lists with documents of several components, by their heads.
@@ -352,18 +347,39 @@ def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     told = led.select("hot", key, "s", "node", "n", "band").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_lists = told.groupBy("hot", "key", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hot", "key", "s")
     rows = settled(told.join(open_lists, ["hot", "key", "s"]).select("hot", "key", "node", "n", "band", "component").distinct(), "open")
-    # Two of one band were held against each other above, by all that they share,
-    # unless they share a list of an earlier head, whose group has them too.
-    pair = (F.count("*") == 2) & (F.min("band") == F.max("band")) & ~F.col("hot")
-    sizes = rows.groupBy("hot", "key").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("salts"), pair.alias("done")).where("not done").drop("done")
-    cells = rows.join(sizes, ["hot", "key"]).withColumn("salt", F.pmod(F.hash("node"), F.col("salts")).cast("int")).join(sets.select(F.col("doc_id").alias("node"), "bits"), "node")
+    # Only large groups are dealt by salts; there are few, and most rows have one.
+    large = settled(rows.groupBy("hot", "key").agg(F.count("*").alias("members")).where(F.col("members") > GROUP_ROWS).select("hot", "key", F.ceil(F.col("members") / GROUP_ROWS).cast("int").alias("salts")), "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
+    cells = rows.join(large, ["hot", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    cells = cells.withColumn("salt", F.pmod(F.hash("node"), F.col("salts")).cast("int")).join(sets.select(F.col("row").alias("node"), "bits"), "node")
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    cells = cells.select("hot", "key", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "node", "n", "component", "bits")
+    cells = cells.select("hot", "key", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "node", "n", "band", "component", "bits")
     more = cells.repartition(parts, "hot", "key", "lo", "hi").mapInArrow(_cross, PAIRS).distinct()
-    links = links.unionByName(settled(_verified(more, docs, width), "more"))
-    whole = components(links)
+    links = links.unionByName(settled(_verified(more, sets, docs, width), "more"))
+    return sets, classes, settled(components(links), "components")
+
 
-    return named.join(whole, F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+def named(sets: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
+    """row, doc_id, text_key, n_shingles, node, class_id, component_id, copies."""
+    least = near.join(classes.select("node", "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    linked_ = near.join(least, "component").select("node", "component_id")
+    at = classes.join(linked_, "node", "left").select("set_key", "node", "class_id", "copies", F.coalesce("component_id", "class_id").alias("component_id"))
+    rows = sets.select("row", "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(at, "set_key", "left")
+    alone = lambda c: F.when(F.col("n_shingles") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    return rows.select("row", "doc_id", "text_key", "n_shingles", "node", alone("class_id"), alone("component_id"), "copies")
+
+
+def joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, a row a row of docs.
+
+    class_id is the least doc_id with the same set, component_id the least that
+    links reach. Documents link if 100 * intersection >= 75 * union of their
+    sets of shingles. Without words, or with a null text, a document is in no
+    class but its own. Rows of one doc_id, or without one, are documents of
+    their own; a class or component of none but null ids has null. An empty
+    table gives an empty result; other columns of docs may have any names.
+    """
+    return named(*compared(keyed(docs), width)).select("doc_id", "n_shingles", "class_id", "component_id")
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,6 +387,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the other's class. Rows come in order of cells; one cell is held at a time."""
 
     def count(cell: list[tuple]) -> pa.RecordBatch:
+        cell = list({r[3]: r for r in cell}.values())  # equal rows of docs come with one node
         nodes = np.array([r[3] for r in cell], np.int64)
         salt, weight = np.array([r[4] for r in cell]), np.array([r[5] for r in cell], np.int64)
         sets = [shingles(r[6], r[7]) for r in cell]
@@ -401,36 +418,45 @@ def counted(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """joined() with n_links: how many other rows a document links with, those
     with the same set among them.
 
-    Links are inside components, so the least documents of classes meet there,
-    in cells of at most COUNT_ROWS by COUNT_ROWS; overlaps are counted on all
+    Links are inside components, so the least rows of classes meet there, in
+    cells of at most COUNT_ROWS by COUNT_ROWS; overlaps are counted on all
     inverted lists of a cell, and a link counts as the rows of the other's class.
     """
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = settled(joined(docs, width), "joined")
-    sizes = rows.where("n_shingles > 0").groupBy("class_id").agg(F.count("*").alias("copies"))
-    reps = rows.where("doc_id = class_id and n_shingles > 0").select("doc_id", "component_id").distinct()
-    groups = reps.groupBy("component_id").agg(F.ceil(F.count("*") / COUNT_ROWS).cast("int").alias("salts"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = settled(reps.join(groups, "component_id").join(sizes.withColumnRenamed("class_id", "doc_id"), "doc_id"), "members")
-    ids = members.select("doc_id")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    cells = members.withColumn("salt", F.pmod(F.hash("doc_id"), F.col("salts")).cast("int")).join(texts, "doc_id")
+    docs = keyed(docs)
+    sets, classes, near = compared(docs, width)
+    groups = near.groupBy("component").agg(F.count("*").alias("members"))
+    large = settled(groups.where(F.col("members") > COUNT_ROWS).select("component", F.ceil(F.col("members") / COUNT_ROWS).cast("int").alias("salts")), "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
+    members = near.join(large, "component", "left").join(classes.select("node", "copies"), "node")
+    members = settled(members.select("component", "node", "copies", F.coalesce("salts", F.lit(1)).alias("salts")), "members")
+    cells = members.withColumn("salt", F.pmod(F.hash("node"), F.col("salts")).cast("int")).join(texts_of(members.select("node"), sets, docs), "node")
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    cells = cells.select("component_id", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), F.col("doc_id").alias("node"), "salt", "copies", "text", F.lit(width).alias("width"))
+    cells = cells.select("component", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "node", "salt", "copies", "text", F.lit(width).alias("width"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cells.repartition(parts, "component_id", "lo", "hi").sortWithinPartitions("component_id", "lo", "hi").mapInArrow(_links, "node long, links long")
+    found = cells.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_links, "node long, links long")
     found = settled(found, "counts").groupBy("node").agg(F.sum("links").alias("links"))
-    held = rows.join(sizes, "class_id", "left").join(found, F.col("class_id") == F.col("node"), "left")
-    links = F.when(F.col("n_shingles") > 0, F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).otherwise(F.lit(0))
+    held = named(sets, classes, near).join(found, "node", "left")
+    links = F.when(F.col("n_shingles") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0))
     return held.select("doc_id", "n_shingles", "class_id", "component_id", links.cast("long").alias("n_links"))
 
 
 def representatives(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of docs that are the least of their component, all columns. Rows
-    without words, or without a doc_id, stay."""
-    gone = settled(joined(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One row of docs of each component, all columns: that of least doc_id
+    (null ids last). Rows without words stay."""
+    rows = settled(named(*compared(keyed(docs), width)), "rows").where("n_shingles > 0")
+    group = F.coalesce(F.col("component_id"), F.col("node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row"))
+    kept = rows.groupBy(F.col("component_id").isNull().alias("unnamed"), group.alias("group")).agg(first.alias("first")).select(F.col("first.row").alias("row"), F.lit(1).alias("stays"))
+    fate = rows.join(kept, "row", "left").groupBy("doc_id", "text_key").agg(F.sum("stays").alias("stay"), F.count("*").alias("equal"))
+    fate = settled(fate.where("stay is null or equal > 1").select(F.struct("doc_id", "text_key", "stay").alias("fate")), "fate")
+    fate = F.broadcast(fate) if fate.count() <= BROADCAST_IDS else fate
+    held = docs.select(F.struct("*").alias("doc"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("its_key"))
+    held = held.join(fate, (F.col("fate.text_key") == F.col("its_key")) & F.col("fate.doc_id").eqNullSafe(F.col("doc.doc_id").cast("long")), "left")
+    sure = held.where("fate is null").select("doc.*")
+    # Of equal rows one stays.
+    one = held.where("fate.stay is not null").withColumn("at", F.row_number().over(Window.partitionBy("fate.doc_id", "its_key").orderBy(F.xxhash64("doc")))).where("at = 1")
+    return sure.unionByName(one.select("doc.*"))
 
 
 def op4(docs: DataFrame) -> DataFrame:
