@@ -21,8 +21,9 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector over its length; null without a direction."""
-    n = norm(v)
-    return F.when(n >= LEAST_NORM, F.transform(v, lambda x: x.cast("double") / n))
+    # One lambda binds the length, so that it is not computed for each element.
+    over = lambda n: F.when(n >= LEAST_NORM, F.transform(v, lambda x: x.cast("double") / n))
+    return F.element_at(F.transform(F.array(norm(v)), over), 1)
 
 
 def l2(a: Column, b: Column) -> Column:

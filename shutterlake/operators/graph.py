@@ -110,7 +110,8 @@ def _kruskal(rows: pd.DataFrame) -> pd.DataFrame:
                 continue
             contradicted += barred
             parent[max(x, y)] = min(x, y)
-            members[min(x, y)] = left | right
+            large |= small
+            members[min(x, y)] = large
     ids = sorted(set(rows["a"]) | set(rows.loc[rows["kind"] != "node", "b"]))
     low: dict[int, int] = {}
     for i in ids:
@@ -168,9 +169,10 @@ def merge_suggestions(edges: DataFrame, faces: DataFrame, subjects: DataFrame, c
 
 
 def upserted_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges in order of their faces, new weights in place of old ones."""
+    """Edges in order of their faces, new weights in place of old ones; of several
+    new weights of a pair the largest."""
     lo, hi = F.least("face_a", "face_b"), F.greatest("face_a", "face_b")
-    fresh = new.select(lo.alias("face_a"), hi.alias("face_b"), F.col("weight").cast("double")).where("face_a <> face_b").groupBy("face_a", "face_b").agg(F.last("weight").alias("weight"))
+    fresh = new.select(lo.alias("face_a"), hi.alias("face_b"), F.col("weight").cast("double")).where("face_a <> face_b").groupBy("face_a", "face_b").agg(F.max("weight").alias("weight"))
     return edges.select("face_a", "face_b", F.col("weight").cast("double")).join(fresh, ["face_a", "face_b"], "left_anti").unionByName(fresh)
 
 

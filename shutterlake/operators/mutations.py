@@ -80,7 +80,8 @@ def unlink_tag(subject_tags: DataFrame, subject_id: int, tag_id: int) -> DataFra
 
 def delete_folder(folder_id: int, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """What is left of folders, images, queue, faces, face_vectors, edges,
-    constraints, subjects (thumbnails unlinked, then those without faces go)."""
+    constraints, subjects (thumbnails unlinked; then every subject without a face
+    goes, whether or not it had one before)."""
     own = t["images"].where(F.col("folder_id") == folder_id).select(F.col("id").alias("image_id"))
     faces = t["faces"].join(own, "image_id", "left_anti").select(*t["faces"].columns)
     gone = t["faces"].join(own, "image_id", "left_semi").select("id")
@@ -95,9 +96,7 @@ def delete_folder(folder_id: int, t: dict[str, DataFrame]) -> dict[str, DataFram
             out[name] = t[name].join(gone.select(F.col("id").alias("face_a")), "face_a", "left_anti").join(gone.select(F.col("id").alias("face_b")), "face_b", "left_anti").select(*t[name].columns)
     linked = t["subjects"].join(gone.select(F.col("id").alias("thumbnail_face_id"), F.lit(True).alias("lost")), "thumbnail_face_id", "left")
     subjects = linked.withColumn("thumbnail_face_id", F.when(F.col("lost"), F.lit(None)).otherwise(F.col("thumbnail_face_id"))).select(*t["subjects"].columns)
-    held = t["faces"].where("subject_id is not null").select(F.col("subject_id").alias("id")).distinct()
-    emptied = held.join(faces.where("subject_id is not null").select(F.col("subject_id").alias("id")), "id", "left_anti")
-    out["subjects"] = subjects.join(emptied, "id", "left_anti")
+    out["subjects"] = subjects.join(faces.where("subject_id is not null").select(F.col("subject_id").alias("id")), "id", "left_semi").select(*t["subjects"].columns)
     return out
 
 

@@ -93,12 +93,11 @@ def _detections(c: Catalog):
 
 
 def _people(c: Catalog) -> dict:
-    faces = c.faces.where("image_id % 20 = 0")
-    return {"subjects": c.subjects, "faces": faces, "subject_tags": c.subject_tags, "constraints": _constraints(c), "merge_suggestions": _suggested(c), "dismissed_pairs": c.spark.createDataFrame([(1, 2, 0)], "subject_id_a long, subject_id_b long, dismissed_at long")}
+    return {"subjects": c.subjects, "faces": c.faces, "subject_tags": c.subject_tags, "constraints": _constraints(c), "merge_suggestions": _suggested(c), "dismissed_pairs": c.spark.createDataFrame([(1, 2, 0)], "subject_id_a long, subject_id_b long, dismissed_at long")}
 
 
-PEOPLE = "few AS (SELECT * FROM faces WHERE image_id % 20 = 0)"
-SOME = "SELECT id, image_id FROM faces WHERE image_id % 20 = 0"
+PEOPLE = "few AS (SELECT * FROM faces)"
+SOME = "SELECT id, image_id FROM faces"
 
 
 def _folder_tables(c: Catalog) -> dict:
@@ -109,11 +108,11 @@ def _folder_tables(c: Catalog) -> dict:
 def _samples(c: Catalog):
     """A user's events an hour: t in seconds, n, pending (0 at times)."""
     t = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) * 3600).cast("long")
-    e = c.raw("events").where("user_id < 20").groupBy(F.col("user_id"), t.alias("t")).agg(F.count("*").alias("n"))
+    e = c.raw("events").groupBy(F.col("user_id"), t.alias("t")).agg(F.count("*").alias("n"))
     return e.withColumn("pending", (F.col("t") / 3600).cast("long") % 5)
 
 
-SAMPLES = "samples AS (SELECT user_id, (epoch(ts)::BIGINT // 3600) * 3600 AS t, count(*) AS n FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events) WHERE user_id < 20 GROUP BY 1, 2), ticks AS (SELECT *, (t // 3600) % 5 AS pending FROM samples)"
+SAMPLES = "samples AS (SELECT user_id, (epoch(ts)::BIGINT // 3600) * 3600 AS t, count(*) AS n FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events) GROUP BY 1, 2), ticks AS (SELECT *, (t // 3600) % 5 AS pending FROM samples)"
 RATE = "CASE WHEN count(*) OVER w >= 2 THEN sum(n) OVER w / greatest((t - min(t) OVER w)::DOUBLE, 1e-3) ELSE 0 END"
 BURSTS = f"""marked AS (SELECT *, sum(CASE WHEN epoch_us(ts) - epoch_us(prev) > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ts, event_id) AS burst FROM (SELECT *, lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) AS prev FROM fs_events)),
   listed AS (SELECT path, burst, min(ts) AS first, max(ts) AS last, count(*) AS n, list(kind ORDER BY ts, event_id) AS kinds FROM marked GROUP BY 1, 2),
@@ -133,7 +132,7 @@ def queries() -> dict:
         "u6_tag_union": (lambda c: M.merge_subjects(_people(c), 4, 1, NOW)["subject_tags"].select("subject_id", "tag_id"), sql("SELECT DISTINCT CASE WHEN subject_id = 1 THEN 4 ELSE subject_id END AS subject_id, tag_id FROM subject_tags", "subject_tags")),
         "u7_affected": (lambda c: _affected(c), sql(SIMS + ", new_ AS (SELECT id FROM face_vectors WHERE id < 10), near AS (SELECT s.other FROM sims s JOIN new_ USING (id) QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY score DESC, other) <= 6) >> SELECT id FROM new_ UNION SELECT other FROM near", "face_vectors")),
         # scalar functions
-        "f1_folded": (lambda c: c.raw("documents").select("doc_id", F.md5(text.folded(F.substring("text", 1, 300))).alias("folded")), f"SELECT doc_id, md5({FOLD.format("regexp_replace(substr(text, 1, 300), '^\\s+|\\s+$', '', 'g')")}) AS folded FROM documents"),
+        "f1_folded": (lambda c: c.raw("documents").select("doc_id", F.md5(text.folded(F.col("text"))).alias("folded")), f"SELECT doc_id, md5({FOLD.format("regexp_replace(text, '^\\s+|\\s+$', '', 'g')")}) AS folded FROM documents"),
         "f2_pattern": (lambda c: c.raw("part").select("p_partkey", text.like_pattern_column(F.concat("p_name", F.lit("_"), "p_brand", F.lit(" 5%"))).alias("pattern")), "SELECT p_partkey, '%' || replace(regexp_replace(lower(p_name || '_' || p_brand || ' 5%'), '([\\\\%_])', '\\\\\\1', 'g'), ' ', '%') || '%' AS pattern FROM part"),
         "f3_unit": (lambda c: _index(c).select("id", _r(F.get("unit", F.lit(0))).alias("x0"), _r(vectors.norm(F.col("unit"))).alias("norm")), sql(UNIT + ">> SELECT id, round(u[1], 6) AS x0, round(sqrt(" + DOT.format("u", "u") + "), 6) AS norm FROM unit", "face_vectors")),
         "f4_dot": (lambda c: _pairwise(c).select("a", "b", _r(vectors.dot(F.col("x"), F.col("y"))).alias("dot")), sql("SELECT a.id AS a, b.id AS b, round(" + DOT.format("a.embedding", "b.embedding") + ", 6) AS dot FROM face_vectors a JOIN face_vectors b ON b.id = a.id + 1", "face_vectors")),
@@ -173,12 +172,12 @@ def queries() -> dict:
         "g1_subject_knn": (lambda c: _knn(c).select("id", "other", _r(F.col("score")).alias("score")), sql(KNN + ">> SELECT id, other, round(score, 6) AS score FROM knn", "face_vectors")),
         "g2_mutual_edges": (lambda c: _mutual(c).select("face_a", "face_b", _r(F.col("weight")).alias("weight")), sql(MUTUAL + ">> SELECT face_a, face_b, round(weight, 6) AS weight FROM mutual", "face_vectors")),
         "g3_constrained": (lambda c: _clusters(c), None),
-        "g4_components": (lambda c: G.components(c.face_vectors.select("id"), _edges(c).select(F.col("face_a").alias("a"), F.col("face_b").alias("b"))), _recursive(sql(EDGES + ", linked_ AS (SELECT * FROM edges WHERE face_b < 500)" + REACH.format(e="linked_") + ">> SELECT id, component FROM comp WHERE id < 500 OR id IN (SELECT id FROM nodes)", "face_vectors"))),
-        "a11_component_sizes": (lambda c: G.components(c.face_vectors.select("id"), _edges(c).select(F.col("face_a").alias("a"), F.col("face_b").alias("b"))).join(c.face_vectors.select("id", "subject_id"), "id").groupBy("component").agg(F.count("*").alias("size"), F.countDistinct("subject_id").alias("subjects")), _recursive(sql(EDGES + ", linked_ AS (SELECT * FROM edges WHERE face_b < 500)" + REACH.format(e="linked_") + ">> SELECT component, count(*) AS size, count(DISTINCT subject_id) AS subjects FROM comp JOIN face_vectors USING (id) GROUP BY 1", "face_vectors"))),
-        "g5_label_actions": (lambda c: G.label_actions(_chains(c), c.face_vectors, _labels(c)), _recursive(sql(EDGES + ", linked_ AS (SELECT * FROM edges WHERE face_b < 500)" + REACH.format(e="linked_") + ", " + LABELS + ", met AS (SELECT component AS cluster, count(*) AS size, count(*) FILTER (subject_id IS NULL) AS unlabeled, count(DISTINCT subject_id) AS subjects, min(subject_id) AS one, coalesce(bool_or(name IS NOT NULL) FILTER (subject_id IS NOT NULL), false) AS named FROM comp JOIN face_vectors f USING (id) LEFT JOIN labels_ l ON l.id = f.subject_id GROUP BY 1) >> SELECT cluster, size, unlabeled, subjects, CASE WHEN subjects = 1 THEN one END AS subject_id, CASE WHEN subjects = 0 THEN CASE WHEN size >= 2 THEN 'new_subject' ELSE 'noise' END WHEN subjects = 1 THEN CASE WHEN unlabeled > 0 THEN 'assign_all' ELSE 'none' END WHEN named THEN 'suggest_merge' ELSE 'none' END AS action FROM met", "face_vectors"))),
+        "g4_components": (lambda c: G.components(c.face_vectors.select("id"), _edges(c).select(F.col("face_a").alias("a"), F.col("face_b").alias("b"))), _recursive(sql(EDGES + ", linked_ AS (SELECT * FROM edges)" + REACH.format(e="linked_") + ">> SELECT id, component FROM comp WHERE id < 500 OR id IN (SELECT id FROM nodes)", "face_vectors"))),
+        "a11_component_sizes": (lambda c: G.components(c.face_vectors.select("id"), _edges(c).select(F.col("face_a").alias("a"), F.col("face_b").alias("b"))).join(c.face_vectors.select("id", "subject_id"), "id").groupBy("component").agg(F.count("*").alias("size"), F.countDistinct("subject_id").alias("subjects")), _recursive(sql(EDGES + ", linked_ AS (SELECT * FROM edges)" + REACH.format(e="linked_") + ">> SELECT component, count(*) AS size, count(DISTINCT subject_id) AS subjects FROM comp JOIN face_vectors USING (id) GROUP BY 1", "face_vectors"))),
+        "g5_label_actions": (lambda c: G.label_actions(_chains(c), c.face_vectors, _labels(c)), _recursive(sql(EDGES + ", linked_ AS (SELECT * FROM edges)" + REACH.format(e="linked_") + ", " + LABELS + ", met AS (SELECT component AS cluster, count(*) AS size, count(*) FILTER (subject_id IS NULL) AS unlabeled, count(DISTINCT subject_id) AS subjects, min(subject_id) AS one, coalesce(bool_or(name IS NOT NULL) FILTER (subject_id IS NOT NULL), false) AS named FROM comp JOIN face_vectors f USING (id) LEFT JOIN labels_ l ON l.id = f.subject_id GROUP BY 1) >> SELECT cluster, size, unlabeled, subjects, CASE WHEN subjects = 1 THEN one END AS subject_id, CASE WHEN subjects = 0 THEN CASE WHEN size >= 2 THEN 'new_subject' ELSE 'noise' END WHEN subjects = 1 THEN CASE WHEN unlabeled > 0 THEN 'assign_all' ELSE 'none' END WHEN named THEN 'suggest_merge' ELSE 'none' END AS action FROM met", "face_vectors"))),
         "g6_relabel": (lambda c: _relabelled(c), None),
         "g7_reconcile": (lambda c: G.reconciled(_detections(c), c.faces), None),
-        "g8_incremental": (lambda c: G.incremental_edges(_edges(c).where("face_a >= 400"), c.face_vectors, c.face_vectors.where("id < 10"), tau=TAU), None),
+        "g8_incremental": (lambda c: G.incremental_edges(_edges(c).where("face_a >= 10"), c.face_vectors, c.face_vectors.where("id < 10"), tau=TAU), None),
         "g10_suggestions": (lambda c: G.merge_suggestions(_mutual(c), c.face_vectors, _labels(c), _constraints(c), _dismissed(c)).select("subject_id_a", "subject_id_b", _r(F.col("score")).alias("score")), sql(MUTUAL + ", " + CONSTRAINTS + ", " + ALLOWED + ", " + LABELS + ">> SELECT m.subject_id_a, m.subject_id_b, round(score, 6) AS score FROM met m JOIN labels_ a ON a.id = m.subject_id_a JOIN labels_ b ON b.id = m.subject_id_b WHERE (a.name IS NOT NULL OR b.name IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.lo = m.subject_id_a AND g.hi = m.subject_id_b) AND (m.subject_id_a, m.subject_id_b) NOT IN ((0, 1), (2, 5), (7, 9))", "face_vectors")),
         "a6_pair_scores": (lambda c: _pair_scores(c), sql(MUTUAL + ">> SELECT least(a.subject_id, b.subject_id) AS lo, greatest(a.subject_id, b.subject_id) AS hi, round(max(weight), 6) AS score FROM mutual JOIN face_vectors a ON a.id = face_a JOIN face_vectors b ON b.id = face_b WHERE a.subject_id <> b.subject_id GROUP BY 1, 2", "face_vectors")),
         "j18_overlaps": (lambda c: _boxes(c).where("iou >= 0.5"), sql("pairs AS (SELECT f.id, g.id AS other, f.bbox_w * f.bbox_h AS fa, g.bbox_w * g.bbox_h AS ga, least(f.bbox_x + f.bbox_w, g.bbox_x + g.bbox_w) - greatest(f.bbox_x, g.bbox_x) AS w, least(f.bbox_y + f.bbox_h, g.bbox_y + g.bbox_h) - greatest(f.bbox_y, g.bbox_y) AS h FROM faces f JOIN faces g USING (image_id) WHERE f.id < g.id) >> SELECT * FROM (SELECT id, other, CASE WHEN w <= 0 OR h <= 0 THEN 0 ELSE round(w * h / (fa + ga - w * h), 6) END AS iou FROM pairs) WHERE iou >= 0.5", "faces")),
@@ -193,7 +192,7 @@ def queries() -> dict:
         "g17_created": (lambda c: M.create_subject(c.subjects, _people(c)["faces"], 20001, NOW)[0].agg(F.count("*").alias("n"), F.max("id").alias("last")), sql("SELECT count(*) + (SELECT count(*) FROM faces WHERE id = 20001) AS n, max(id) + (SELECT count(*) FROM faces WHERE id = 20001) AS last FROM subjects", "subjects", "faces")),
         # changes
         "d1_tag_inserted": (lambda c: M.create_tag(M.create_tag(c.tags, " Zoo-1 ", NOW), "brand#1", NOW).select("id", "name", "name_normalized"), sql("SELECT id, name, name_normalized FROM tags UNION ALL SELECT (SELECT max(id) FROM tags) + 1, 'Zoo-1', 'zoo-1'", "tags")),
-        "d2_folder_deleted": (lambda c: M.delete_folder(3, _folder_tables(c))["subjects"].select("id", "thumbnail_face_id"), sql(THUMBED + ", gone AS (SELECT f.id FROM faces f JOIN images i ON i.id = image_id WHERE folder_id = 3), left_ AS (SELECT DISTINCT subject_id FROM faces JOIN images i ON i.id = image_id WHERE folder_id <> 3 AND subject_id IS NOT NULL), had AS (SELECT DISTINCT subject_id FROM faces WHERE subject_id IS NOT NULL) >> SELECT id, CASE WHEN thumbnail_face_id NOT IN (SELECT id FROM gone) THEN thumbnail_face_id END AS thumbnail_face_id FROM thumbed WHERE id NOT IN (SELECT subject_id FROM had) OR id IN (SELECT subject_id FROM left_)", "images", "faces", "subjects")),
+        "d2_folder_deleted": (lambda c: M.delete_folder(3, _folder_tables(c))["subjects"].select("id", "thumbnail_face_id"), sql(THUMBED + ", gone AS (SELECT f.id FROM faces f JOIN images i ON i.id = image_id WHERE folder_id = 3), left_ AS (SELECT DISTINCT subject_id FROM faces JOIN images i ON i.id = image_id WHERE folder_id <> 3 AND subject_id IS NOT NULL) >> SELECT id, CASE WHEN thumbnail_face_id NOT IN (SELECT id FROM gone) THEN thumbnail_face_id END AS thumbnail_face_id FROM thumbed WHERE id IN (SELECT subject_id FROM left_)", "images", "faces", "subjects")),
         "d2_folder_survivors": (lambda c: _counts(M.delete_folder(3, _folder_tables(c)), ("folders", "images", "queue", "faces", "face_vectors")), sql("kept AS (SELECT id FROM images WHERE folder_id <> 3), gone AS (SELECT f.id FROM faces f JOIN images i ON i.id = image_id WHERE folder_id = 3) >> SELECT 'folders' AS name, count(*) AS n FROM folders WHERE id <> 3 UNION ALL SELECT 'images', count(*) FROM kept UNION ALL SELECT 'queue', count(*) FROM queue WHERE image_id IN (SELECT id FROM kept) UNION ALL SELECT 'faces', count(*) FROM faces WHERE image_id IN (SELECT id FROM kept) UNION ALL SELECT 'face_vectors', count(*) FROM face_vectors WHERE id * 1000 + 1 NOT IN (SELECT id FROM gone)", "folders", "images", "queue", "faces", "face_vectors")),
         "d3_soft_deleted": (lambda c: M.undelete(M.soft_delete(c.images, c.images.where("id % 2 = 0"), NOW), c.images.where("id % 6 = 0")).select("id", "deleted_at"), sql(f"SELECT id, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 2 = 0 THEN coalesce(deleted_at, {NOW}) ELSE deleted_at END AS deleted_at FROM images", "images")),
         "d4_applied": (lambda c: M.apply_changes(c.images, M.changes(_listing(c), c.images), NOW).select("id", "file_hash", "hash_status", "file_size", "semantic_analysis_done", "thumbnail_path", "deleted_at"), sql(ACTIONS + f""">> SELECT i.id, CASE WHEN action = 'modified' THEN disk_hash ELSE file_hash END AS file_hash, CASE action WHEN 'modified' THEN 'DONE' WHEN 'failed' THEN 'FAILED' ELSE hash_status END AS hash_status,

@@ -18,12 +18,15 @@ FOLD = "translate(lower(trim({})), 'áàäâãåéèëêíìïîóòöôõúùü
 PHOTOS = "fi.id % 1000 <> 999"
 
 
-def _few_images(c: Catalog):
-    return c.images.where(F.col("folder_id") % 5 != 0)
+def _folders(c: Catalog):
+    """The folders, and some without images."""
+    r = c.raw("region")
+    return c.folders.unionByName(r.select((F.col("r_regionkey") + 100).cast("long").alias("id"), F.concat(F.lit("/empty/"), F.col("r_name")).alias("path"), F.col("r_regionkey").cast("long").alias("added_at")))
 
 
-def _few_faces(c: Catalog):
-    return c.faces.where(F.col("image_id") % 20 == 0)
+def _faces(c: Catalog):
+    """The faces of all images; some subjects have none."""
+    return c.faces.where(F.coalesce(F.col("subject_id"), F.lit(0)) % 10 != 2)
 
 
 def _cache(c: Catalog):
@@ -99,7 +102,7 @@ def _p(df, *cols):
 _TAGGED = """tagged AS (SELECT DISTINCT st.subject_id FROM subject_tags st JOIN tags t ON st.tag_id = t.id WHERE t.name_normalized LIKE '%brand%1%' ESCAPE '\\')"""
 _A5 = f"""{_TAGGED}, hits AS (SELECT f.image_id, count(DISTINCT f.subject_id) AS subjects FROM faces f JOIN tagged USING (subject_id) GROUP BY 1),
   ranked AS (SELECT image_id, subjects, date_taken AS newest, row_number() OVER (ORDER BY subjects DESC, date_taken DESC NULLS LAST, image_id) AS rank FROM hits JOIN images i ON i.id = image_id WHERE deleted_at IS NULL)"""
-_COVER = """counts AS (SELECT f.subject_id, count(DISTINCT f.image_id) AS frequency FROM faces f JOIN images i ON f.image_id = i.id WHERE f.image_id % 20 = 0 AND i.folder_id = 3 AND f.subject_id IS NOT NULL GROUP BY 1),
+_COVER = """counts AS (SELECT f.subject_id, count(DISTINCT f.image_id) AS frequency FROM faces f JOIN images i ON f.image_id = i.id WHERE f.subject_id % 10 <> 2 AND i.folder_id = 3 AND f.subject_id IS NOT NULL GROUP BY 1),
   targets AS (SELECT DISTINCT subject_id FROM subject_tags WHERE tag_id IN (0, 1)),
   cover AS (SELECT s.id AS subject_id, coalesce(s.name, 'Unknown') AS name, coalesce(c.frequency, 0) AS frequency,
     CASE WHEN t.subject_id IS NULL THEN 'others' WHEN coalesce(c.frequency, 0) > 0 THEN 'present' ELSE 'missing' END AS bucket
@@ -147,7 +150,7 @@ def queries() -> dict:
         "p13_stage": (lambda c: c.images.select("id", numeric.stage(F.col("semantic_analysis_done"), F.col("subject_analysis_done")).alias("stage")), sql("SELECT id, CASE WHEN semantic_analysis_done AND subject_analysis_done THEN 'ready' ELSE 'pending' END AS stage FROM images", "images")),
         "p14_suggestions_of": (lambda c: _suggested(c).where("subject_id_a = 4 or subject_id_b = 4"), sql(SUGGESTED + "SELECT * FROM pairs WHERE subject_id_a = 4 OR subject_id_b = 4", "subjects")),
         "p15_shaped": (lambda c: L.live(c.images).select(F.struct("id", "path").alias("image"), F.lit(1.0).alias("score")).select("image.id", "image.path", "score"), sql("SELECT id, path, 1.0::DOUBLE AS score FROM images WHERE deleted_at IS NULL", "images")),
-        "j1_folder_counts": (lambda c: R.folder_counts(c.folders, _few_images(c)), sql("SELECT f.id, f.path, f.added_at, count(i.id) AS photo_count FROM folders f LEFT JOIN images i ON i.folder_id = f.id AND i.deleted_at IS NULL AND i.folder_id % 5 <> 0 GROUP BY ALL", "folders", "images")),
+        "j1_folder_counts": (lambda c: R.folder_counts(_folders(c), c.images), sql("more AS (SELECT * FROM folders UNION ALL SELECT r_regionkey + 100, '/empty/' || r_name, r_regionkey FROM region) >> SELECT f.id, f.path, f.added_at, count(i.id) AS photo_count FROM more f LEFT JOIN images i ON i.folder_id = f.id AND i.deleted_at IS NULL GROUP BY ALL", "folders", "images")),
         "j2_tag_counts": (lambda c: L.ranked(R.tag_counts(c.tags, c.subject_tags), text.ascii_lower(F.col("name")), F.col("id")), sql(f"SELECT t.id, t.name, count(st.subject_id) AS usage_count, row_number() OVER (ORDER BY {LOWER.format('t.name')}, t.id)::INT AS rank FROM tags t LEFT JOIN subject_tags st ON st.tag_id = t.id GROUP BY t.id, t.name", "subject_tags")),
         "j3_subject_photos": (lambda c: R.subject_photos(c.images, c.faces, 3).select("id", "path"), sql("SELECT id, path FROM images WHERE deleted_at IS NULL AND id IN (SELECT image_id FROM faces WHERE subject_id = 3)", "images", "faces")),
         "j4_photos_with_faces": (lambda c: R.subject_photos_with_faces(c.images, c.faces, 3).select("id", "taken", "face_id", F.round("face_bbox.x", 6).alias("x"), F.round("face_bbox.w", 6).alias("w")), sql(f"SELECT i.id, {TAKEN} AS taken, f.id AS face_id, round(bbox_x, 6) AS x, round(bbox_w, 6) AS w FROM images i JOIN faces f ON f.image_id = i.id WHERE deleted_at IS NULL AND subject_id = 3", "images", "faces")),
@@ -219,4 +222,4 @@ def _swapped(c: Catalog):
 
 
 def _cover(c: Catalog):
-    return R.coverage(3, [0, 1], c.images, _few_faces(c), c.subjects, c.subject_tags)
+    return R.coverage(3, [0, 1], c.images, _faces(c), c.subjects, c.subject_tags)

@@ -19,25 +19,40 @@ def clusters(spark, ids, edges, constraints):
     return sorted(map(sorted, out.values()))
 
 
-@pytest.mark.parametrize(
-    ("edges", "constraints", "want"),
-    [
-        ([(1, 2, 0.9), (2, 3, 0.6)], [(1, 3, "cannot_link", "removal")], [[1, 2], [3]]),
-        ([], [(1, 2, "must_link", "merge")], [[1, 2], [3]]),
-        ([], [(1, 2, "must_link", "merge"), (1, 2, "cannot_link", "removal")], [[1, 2], [3]]),
-        ([(1, 2, 0.9), (2, 3, 0.6)], [], [[1, 2, 3]]),
-    ],
-)
-def test_constraints(spark, edges, constraints, want):
-    assert clusters(spark, [1, 2, 3], edges, constraints) == want
+def greedy(ids, edges, constraints):
+    """Sets joined from the strongest edge on unless a barred pair would meet; must-links come last and always hold."""
+    barred = {frozenset(c[:2]) for c in constraints if c[2] == "cannot_link"}
+    held = [{i} for i in ids]
+    steps = [(a, b, False) for a, b, w in sorted(edges, key=lambda e: (-e[2], e[:2]))] + [(*c[:2], True) for c in constraints if c[2] == "must_link"]
+    for a, b, forced in steps:
+        x, y = (next(s for s in held if i in s) for i in (a, b))
+        if x is not y and (forced or not any(frozenset((i, j)) in barred for i in x for j in y)):
+            held.remove(y)
+            x |= y
+    return sorted(map(sorted, held))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_constraints(spark, seed):
+    random.seed(seed)
+    ids = list(range(10, 34))
+    pairs = random.sample([(a, b) for a in ids for b in ids if a < b], 40)
+    edges = [(a, b, k / 64) for k, (a, b) in enumerate(pairs[:28], 20)]
+    constraints = [(a, b, "cannot_link", "removal") for a, b in pairs[28:36]] + [(a, b, "must_link", "merge") for a, b in pairs[36:38]]
+    assert clusters(spark, ids, edges, constraints) == greedy(ids, edges, constraints)
+
+
+def test_a_must_link_joins_a_barred_pair(spark):
+    assert clusters(spark, [70, 71, 72], [], [(70, 72, "cannot_link", "removal"), (70, 72, "must_link", "merge")]) == [[70, 72], [71]]
 
 
 def test_mutual(spark):
-    knn = {1: [(2, 0.9), (3, 0.8)], 2: [(3, 0.85), (4, 0.7)], 3: [(2, 0.85), (1, 0.8)], 4: [(2, 0.7), (3, 0.6)]}
-    df = spark.createDataFrame([(a, b, s) for a, x in knn.items() for b, s in x], "id long, other long, score double")
-    got = {(r["face_a"], r["face_b"]) for r in G.mutual_edges(df, 0.55).collect()}
-    assert got == {(1, 3), (2, 3), (2, 4)}
-    assert G.mutual_edges(df, 0.95).count() == 0
+    random.seed(11)
+    knn = {a: random.sample([(b, random.randrange(30, 90) / 100) for b in range(20) if b != a], 6) for a in range(20)}
+    weight = {(a, b): s for a, x in knn.items() for b, s in x}
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in weight.items()], "id long, other long, score double")
+    got = {(r["face_a"], r["face_b"]): r["weight"] for r in G.mutual_edges(df, 0.6).collect()}
+    assert got and got == {(a, b): s for (a, b), s in weight.items() if a < b and s >= 0.6 and (b, a) in weight}
 
 
 @pytest.mark.parametrize("small", [0, 10**6])
