@@ -35,9 +35,14 @@ def neighbours(rows: DataFrame, *order: Column, by: tuple[str, ...] = ()) -> Dat
     return rows.withColumn("previous", F.coalesce(F.lag("id").over(w), F.last("id").over(whole))).withColumn("next", F.coalesce(F.lead("id").over(w), F.first("id").over(whole)))
 
 
+#: Least aspect, multiplier and modulus of the stand-in for an image's shape.
+ASPECT = (0.8, 54321, 1000)
+
+
 def aspect(image_id: int) -> float:
     """A stable stand-in for an image's width over its height, 0.8 to 1.8."""
-    return 0.8 + (image_id * 54321 % 1000) / 1000
+    least, times, of = ASPECT
+    return least + (image_id * times % of) / of
 
 
 def rows_of(ids: list[int], width: float, height: float, gap: float = 4) -> list[tuple[list[int], float]]:

@@ -85,9 +85,14 @@ def knn_of(rows: DataFrame, face_id: int, vector: list[float] | None, k: int) ->
     return near.where(F.col("id") != face_id).orderBy("distance", "id").limit(k)
 
 
-def all_pairs_top(queries: DataFrame, rows: DataFrame, extra: str = "k") -> DataFrame:
+#: Stands for no group; ids of groups are not that low.
+_NO_GROUP = -(2**63)
+
+
+def all_pairs_top(queries: DataFrame, rows: DataFrame, extra: str = "k", group: str | None = None) -> DataFrame:
     """id, other, score: for each query (id, embedding, k) its k nearest others
-    by 1 - d*d/2, ties to the smaller id.
+    by 1 - d*d/2, ties to the smaller id. With a group column those of the
+    query's own group, if it has one, do not count.
 
     Rows are dealt to shards and queries to blocks, both of bounded size; every
     block meets every shard in one task by matrix product, keeps its k best
@@ -97,22 +102,23 @@ def all_pairs_top(queries: DataFrame, rows: DataFrame, extra: str = "k") -> Data
     shards, blocks = -(-count(rows) // SHARD_ROWS), -(-count(queries) // QUERY_ROWS)
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", "embedding", F.col(extra).cast("int").alias("k")).withColumn("block", deal(blocks)).withColumn("shard", each(shards))
-    right = rows.select("id", "embedding").withColumn("other_shard", deal(shards)).withColumn("other_block", each(blocks))
-    right = right.select(F.col("id").alias("other"), F.col("embedding").alias("vector"), "other_shard", "other_block")  # names of their own: the sides may be one table
+    own = F.lit(_NO_GROUP) if group is None else F.coalesce(F.col(group).cast("long"), F.lit(_NO_GROUP))
+    left = queries.select("id", "embedding", F.col(extra).cast("int").alias("k"), own.alias("own")).withColumn("block", deal(blocks)).withColumn("shard", each(shards))
+    right = rows.select("id", "embedding", own.alias("group")).withColumn("other_shard", deal(shards)).withColumn("other_block", each(blocks))
+    right = right.select(F.col("id").alias("other"), F.col("embedding").alias("vector"), "group", "other_shard", "other_block")  # names of their own: the sides may be one table
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(x):
             x = x.sort_values("other")
             a, b = np.stack(q["embedding"]).astype(float), np.stack(x["vector"]).astype(float)
-            ids = x["other"].to_numpy()
+            ids, groups = x["other"].to_numpy(), x["group"].to_numpy()
             sq = (b * b).sum(axis=1)
             for at in range(0, len(q), 256):
                 part = a[at : at + 256]
                 score = 1 - ((part * part).sum(axis=1)[:, None] + sq[None] - 2 * part @ b.T) / 2
-                for row, me, k in zip(score, q["id"].to_numpy()[at : at + 256], q["k"].to_numpy()[at : at + 256], strict=True):
-                    row = np.where(ids == me, -np.inf, row)
+                for row, me, k, mine in zip(score, *(q[c].to_numpy()[at : at + 256] for c in ("id", "k", "own")), strict=True):
+                    row = np.where((ids == me) | ((groups == mine) & (mine != _NO_GROUP)), -np.inf, row)
                     k = min(int(k), len(ids) - 1) if me in ids else min(int(k), len(ids))
                     if k <= 0:
                         continue

@@ -14,7 +14,7 @@ TAKEN = "coalesce(date_taken, mtime)"
 IMG = ["id", "folder_id", "path", "mtime"]
 #: ASCII-only lower case in DuckDB.
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-FOLD = "translate(lower(trim({})), 'áàäâãåéèëêíìïîóòöôõúùüûñç', 'aaaaaaeeeeiiiiooooouuuunc')"
+FOLD = f"translate(lower(trim({{}})), '{text.ACCENTED}', '{text.PLAIN}')"
 PHOTOS = "fi.id % 1000 <> 999"
 
 
