@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,11 +34,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/shutterlake-{uuid.uuid4().hex}/{name}"
 
 
-def settled(df: DataFrame, name: str = "table") -> DataFrame:
+def settled(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: its lineage is
     cut, it is computed once, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +50,16 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of queries that are over now, rather
+    than when the driver next collects its garbage."""
+    gc.collect()
+    for _ in range(2):  # the first frees what Python let go, the second what that held
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def words(text: Column) -> Column:
     """The words of a text, A-Z in lower case: runs of anything but WORD_SPACE.
     A null text has none."""

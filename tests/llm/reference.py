@@ -46,7 +46,7 @@ def without_repeated_lines(texts):
             continue
         kept = []
         for line in texts[i].split("\n"):
-            s = shingles(line)
+            s = frozenset(re.findall(r"[^\x20\x09-\x0D]+", line.lower()))
             met = Counter(j for g in s for j in inverted[g])
             if not any(100 * n >= 75 * (len(s) + len(held[j]) - n) for j, n in met.items()):
                 kept.append(line)

@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from shutterlake.llm import fingerprint, graph, linededup, ngram_join
-from shutterlake.llm.common import table, words
+from shutterlake.llm.common import shingle_hashes, table, words
 
 from . import reference as plain
 from .conftest import near
@@ -39,7 +41,7 @@ def test_words_split_as_stated(spark, make_docs):
 
 def test_shingles_by_either_engine_agree_in_number(make_docs):
     rows = corpus()
-    got = make_docs(rows).select("doc_id", F.size(linededup.tokens(F.col("text"))).alias("n")).collect()
+    got = make_docs(rows).select("doc_id", F.size(F.array_distinct(shingle_hashes(words(F.col("text"))))).alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in got} == {i: len(plain.shingles(t)) for i, t in rows}
     assert all(len(ngram_join.shingles(t)) == len(plain.shingles(t)) for _, t in rows)
 
@@ -85,8 +87,10 @@ def test_lines(make_docs, seed):
 
 
 def test_lines_salted_hot_and_shuffled(make_docs, monkeypatch):
-    monkeypatch.setattr(linededup, "SALT_ROWS", 1)
-    monkeypatch.setattr(linededup, "BROADCAST_DOCS", 0)
+    monkeypatch.setattr(linededup, "SALT_ROWS", 2)
+    monkeypatch.setattr(linededup, "BIG", 3)
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(linededup, "HOT_GROUPS", 2)
     rows = corpus(3)
     got = linededup.op3(make_docs(rows)).collect()
     assert {r["doc_id"]: r["text"] for r in got} == plain.without_repeated_lines(dict(rows))
@@ -112,19 +116,58 @@ def edited(texts, i):
     return t[: len(t) - k] + following[:k]
 
 
+def hashes(text):
+    """Sorted hashes of a text's shingles, as signed numbers, by plain code."""
+    out, signed = set(), lambda h: h - 2**64 if h >= 2**63 else h
+    long = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<Q", x), seed)
+    for run in plain.shingles(text):
+        h = 42
+        for w in run:  # short texts: each step hashes the one before anew
+            h = long(xxhash.xxh64_intdigest(w.encode(), 42), h if len(run) == 5 else long(h, 42))
+        out.add(signed(h))
+    return sorted(out)
+
+
+def plain_sketch(text):
+    h = hashes(text)
+    low = [x for x in h if x < -(2**63) + 2**61]
+    return low if len(low) >= 16 else h[:16]
+
+
+def plain_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    top = min(2**63 if len(s) < 16 else max(s[-1], -(2**63) + 2**61 - 1) for s in (a, b))
+    a, b = ({x for x in s if x <= top} for s in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def plain_print(s):
+    return "".join(f"{x % 2**64:016X}" for x in s)
+
+
 def test_fingerprints(make_docs):
-    rows = corpus(5) + [(500, "far id"), (9000, "farther id")]
-    got = {r["doc_id"]: r for r in fingerprint.op1(make_docs(rows)).collect()}
+    rows = corpus(5) + [(500, "far id"), (9000, "farther id"), (9001, " ".join(f"w{k % 700}" for k in range(30_000)))]
+    got = {r["doc_id"]: r for r in fingerprint.op1(make_docs(rows).withColumns({"key": F.lit(1), "next": F.lit(2), "block": F.lit(3)})).collect()}
     order = sorted(rows, reverse=True)
     texts = [t for _, t in order]
-    prints = {}
     for k, (i, t) in enumerate(order):
-        r = got[i]
+        r, new = got[i], edited(texts, k)
         assert r["n_chars"] == len(t or "")
-        assert r["edited_sha256"] == hashlib.sha256(edited(texts, k).encode()).hexdigest()
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        assert prints.setdefault(t or "", r["fingerprint"]) == r["fingerprint"]
-        assert (r["fingerprint"] == "") == (not plain.words(t))
+        assert r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        own, changed, other = plain_sketch(t), plain_sketch(new), plain_sketch(texts[(k + 1) % len(texts)])
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (plain_print(own), plain_print(changed))
+        assert (r["near_edited"], r["near_next"]) == (plain_likeness(own, changed), plain_likeness(own, other))
+
+
+def test_fingerprints_of_rows_with_repeated_or_no_ids(make_docs):
+    rows = [(3, "a b c d e f"), (3, "a b c d e f"), (3, "other words of it"), (None, None), (None, "x"), (None, "x")]
+    for block in (128, 1):
+        fingerprint.BLOCK_IDS, was = block, fingerprint.BLOCK_IDS
+        got = fingerprint.op1(make_docs(rows)).collect()
+        fingerprint.BLOCK_IDS = was
+        assert sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == sorted((str(i), len(t or "")) for i, t in rows)
+        assert len({r["fingerprint"] for r in got}) == 4
 
 
 def test_fingerprint_of_one_and_none(make_docs):
@@ -136,11 +179,26 @@ def test_fingerprint_of_one_and_none(make_docs):
 def test_sketches_estimate_and_merge(make_docs):
     random.seed(7)
     long = [f"w{random.randrange(10**6)}" for _ in range(4000)]
-    a, b = " ".join(long), " ".join(long[:800])
-    df = make_docs([(1, a), (2, b)]).select(F.max(F.when(F.col("doc_id") == 1, F.col("text"))).alias("a"), F.max(F.when(F.col("doc_id") == 2, F.col("text"))).alias("b"))
-    df = df.select(fingerprint.sketch(F.col("a")).alias("a"), fingerprint.sketch(F.col("b")).alias("b"))
-    r = df.select(fingerprint.containment(F.col("b"), F.col("a")).alias("c"), fingerprint.likeness(F.col("a"), F.col("b")).alias("j"), (fingerprint.merged(F.col("a"), F.col("b")) == F.col("a")).alias("m"), F.size("a").alias("n")).first()
-    assert r["c"] == 1.0 and abs(r["j"] - 0.2) < 0.06 and r["m"] and abs(r["n"] - 500) < 100
+    parts = [(k, " ".join(long[k * 12 : k * 12 + 12])) for k in range(300)] + [(300, " ".join(long[:800])), (301, ""), (302, "elsewhere one two three four five six seven")]
+    df = make_docs(parts).select("doc_id", fingerprint.sketch(F.col("text")).alias("a"), fingerprint.sketch(F.lit(" ".join(long))).alias("b"), "text")
+    df = df.select("doc_id", fingerprint.containment(F.col("a"), F.col("b")).alias("c"), fingerprint.likeness(F.col("a"), F.col("b")).alias("j"), (fingerprint.merged(F.col("a"), F.col("b")) == F.col("b")).alias("m"), F.size("b").alias("n"))
+    got = {r["doc_id"]: r for r in df.collect()}
+    told = [got[k]["c"] for k in range(300) if got[k]["c"] is not None]
+    assert len(told) > 150 and set(told) == {1.0} and all(got[k]["m"] for k in range(301))
+    assert got[300]["c"] == 1.0 and abs(got[300]["j"] - 0.2) < 0.06 and abs(got[300]["n"] - 500) < 100
+    assert got[301]["c"] == 1.0 and got[301]["j"] == 0 and got[302]["c"] in (None, 0.0)
+
+
+def test_merging_gives_the_sketch_of_both(make_docs):
+    random.seed(8)
+    word = lambda: f"w{random.randrange(500)}"
+    texts = [" ".join(word() for _ in range(n)) for n in (1, 3, 9, 30, 80, 150, 400, 2000)]
+    got = make_docs(list(enumerate(texts))).select(fingerprint.sketch(F.col("text")).alias("s"), "doc_id")
+    pairs = got.join(got.select(F.col("s").alias("t"), F.col("doc_id").alias("other")), F.col("doc_id") <= F.col("other")).select("doc_id", "other", fingerprint.merged(F.col("s"), F.col("t")).alias("m"))
+    for r in pairs.collect():
+        h = sorted({*hashes(texts[r["doc_id"]]), *hashes(texts[r["other"]])})
+        low = [x for x in h if x < -(2**63) + 2**61]
+        assert r["m"] == (low if len(low) >= 16 else h[:16])
 
 
 def test_components_of_a_path_and_rings(spark):
@@ -148,3 +206,32 @@ def test_components_of_a_path_and_rings(spark):
     got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == {k: 0 for k in range(201)} | {300: 300, 301: 300, 302: 300}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_join_of_rows_with_repeated_or_no_ids(make_docs):
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    b = " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a), (5, a), (5, b), (9, near(b, 39)), (9, near(b, 39)), (None, b), (None, None), (None, "alone here"), (None, "")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.op4(make_docs(rows)).collect()), key=str)
+    assert got == sorted([(1, 8, 1, 1), (5, 8, 1, 1), (5, 36, 5, 3), (9, 35, 5, 3), (9, 35, 5, 3), (None, 36, 5, 3), (None, 0, None, 0), (None, 1, None, 0), (None, 0, None, 0)], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.representatives(make_docs(rows)).collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (None, None), (None, "alone here"), (None, "")], key=str)
+    assert ngram_join.representatives(make_docs([(9, b), (9, b), (9, b)])).count() == 1
+
+
+@pytest.mark.parametrize("size", [8, 15, 25, 38, 39, 60])
+def test_a_line_with_one_word_changed_goes(make_docs, size):
+    words_ = [f"w{k}" for k in range(size)]
+    other = words_[: size // 2] + ["changed"] + words_[size // 2 + 1 :]
+    got = linededup.op3(make_docs([(1, " ".join(words_)), (2, " ".join(other) + "\nunlike any other")])).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: " ".join(words_), 2: "unlike any other"}
+
+
+def test_lines_of_rows_with_repeated_or_no_ids(make_docs):
+    a, b, c = "one two three four", "five six seven eight", "nine ten eleven twelve"
+    rows = [(1, f"{a}\n\n{b}"), (1, f"{a}\n\n{b}"), (1, f"{c}\n{a}"), (2, f"{c}\nnew words"), (None, "lonely words"), (None, "lonely words"), (None, None), (None, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in linededup.op3(make_docs(rows)).collect()), key=str)
+    # Of the two different texts of document 1 either may come first.
+    first = [(1, f"{a}\n\n{b}"), (1, ""), (1, c)], [(1, f"\n{b}"), (1, ""), (1, f"{c}\n{a}")]
+    rest = [(2, "new words"), (None, "lonely words"), (None, ""), (None, None), (None, None)]
+    assert got in [sorted(f + rest, key=str) for f in first]
