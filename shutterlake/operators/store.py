@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a local folder only where it is unset."""
+    """The folder that driver and executors share: the session's
+    spark.checkpoint.dir. Only in local mode, where it is unset (as in tests), a
+    folder of this machine is chosen and recorded in the session; on a cluster
+    executors would each write to a disk of their own, so there it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='shutterlake-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..fixtures import Catalog
-from . import advanced, relational, streams
+from . import advanced, jobs, relational, streams
 
-PARTS = (relational, advanced, streams)
+PARTS = (relational, advanced, streams, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
