@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of public chat templates, without their first character.
-CONTROL = r"/?s>|/?INST\]|<SYS>>|</SYS>>|\|[A-Za-z_]+\|>|(?:start|end)_of_turn>|pad>|unk>|bos>|eos>"
+CONTROL = r"/?s>|/?INST\]|<SYS>>|</SYS>>|\|[^|<>\x09-\x0D\x20]+\|>|(?:start|end)_of_turn>|pad>|unk>|bos>|eos>"
 OPEN = r"([<\[])"
 
 TURNS = "array<struct<role:string,text:string>>"
@@ -106,6 +106,50 @@ def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
     return rows.select(key, F.transform("all", lambda m: turn(m["role"], m["text"])).cast(TURNS).alias("turns"))
 
 
+def record_paths(record: Column) -> Column:
+    """Sorted field paths of one row's JSON object: its keys, and of lists that a
+    layout knows the keys of the first entry. Null if it is no object."""
+    top = F.json_object_keys(record)
+    lists = sorted({p.split("[]")[0] for paths, _ in LAYOUTS for p in paths if "[]" in p})
+    held = F.filter(top, lambda k: ~k.isin(lists))
+    for field in lists:
+        keys = F.json_object_keys(F.get_json_object(record, f"$.{field}[0]"))
+        inner = F.when(keys.isNotNull(), F.transform(keys, lambda k: F.concat(F.lit(f"{field}[]."), k))).otherwise(F.array(F.lit(f"{field}[]")))  # noqa: B023
+        held = F.concat(held, F.when(F.array_contains(top, field), inner).otherwise(F.array().cast("array<string>")))
+    return F.array_sort(held)
+
+
+def canonical_records(df: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
+    """key, turns, layout of rows that hold a conversation each as a JSON object,
+    every row of a layout of its own. The fingerprint of its field paths selects
+    the mapping; with further fields, the largest layout that it contains.
+
+    A row of no known layout, or that is no object, has null turns and layout; a
+    list without entries has no turns. Null texts and roles are empty. An empty
+    table gives an empty result; repeated rows have a result each.
+    """
+    known = [(paths, how) for paths, how in LAYOUTS if how[0] != "rows"]
+    rows = df.select(F.col(key), F.col(record).cast("string").alias("record")).withColumn("paths", record_paths(F.col("record")))
+    rows = rows.withColumn("print", F.sha2(F.array_join("paths", "\n"), 256))
+    largest = sorted(known, key=lambda x: -len(x[0]))
+    inside = [F.when(F.size(F.array_except(F.array(*map(F.lit, paths)), "paths")) == 0, F.lit(fingerprint(paths))) for paths, _ in largest]
+    empty = [F.when(F.array_contains("paths", f"{how[1]}[]"), F.lit(fingerprint(paths))) for paths, how in known if how[0] == "list"]
+    rows = rows.withColumn("layout", F.coalesce(F.when(F.col("print").isin([fingerprint(p) for p, _ in known]), F.col("print")), *inside, *empty))
+    field = lambda name: F.coalesce(F.get_json_object("record", f"$.{name}"), F.lit(""))
+    turn = lambda role, said: F.struct(role.alias("role"), said.alias("text"))
+    found = []
+    for paths, (kind, *how) in known:
+        if kind == "fields":
+            joined = lambda path: F.when(field(path.split("+")[-1]) == "", field(path.split("+")[0])).otherwise(F.concat_ws("\n", *map(field, path.split("+"))))
+            turns = F.array(*(turn(F.lit(r), joined(p)) for r, p in how[0]))
+        else:
+            entries = F.from_json(F.get_json_object("record", f"$.{how[0]}"), "array<map<string,string>>")
+            name = lambda r: F.coalesce(*(F.when(r == k, F.lit(v)) for k, v in ROLES.items()), r, F.lit(""))
+            turns = F.transform(F.filter(F.coalesce(entries, F.array().cast("array<map<string,string>>")), lambda m: m.isNotNull()), lambda m: turn(name(F.try_element_at(m, F.lit(how[1]))), F.coalesce(F.try_element_at(m, F.lit(how[2])), F.lit(""))))  # noqa: B023
+        found.append(F.when(F.col("layout") == fingerprint(paths), turns.cast(TURNS)))
+    return rows.select(key, F.coalesce(*found).alias("turns"), "layout")
+
+
 def escaped(text: Column) -> Column:
     return F.regexp_replace(text, rf"{OPEN}(\\*)(?={CONTROL})", r"$1\\$2")
 
@@ -143,6 +187,8 @@ def under_mask(text: Column, loss: Column) -> Column:
 
 
 def op10(conversations: DataFrame) -> DataFrame:
+    """Of every conversation, and of -1, what its formatted string says. An empty
+    table gives the row of -1 alone; other columns are left out."""
     said = "</s>[INST] ok [/INST]"
     spark = conversations.sparkSession
     more = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("t")).select("conv_id", "t.turn", "t.role", F.lit(said).alias("text"))

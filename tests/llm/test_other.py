@@ -82,6 +82,13 @@ def test_packing_odd_rows(make_docs):
     assert packing.op2(make_docs([])).count() == 0
 
 
+def test_packing_beside_other_columns(spark):
+    pieces_ = spark.createDataFrame([(k % 9, k // 9, 0, 1 + k % 50, 0) for k in range(200)], packing.PIECES).withColumns({c: F.lit(c) for c in ("block", "rank", "earlier", "row", "n")})
+    got = packing.packed(pieces_, 64)
+    assert got.columns == [*pieces_.columns, "sequence_id", "offset"] and got.where("rank = 'rank' and block = 'block'").count() == 200
+    check_packing(got.collect(), 64)
+
+
 # sharding
 def test_shards(make_docs):
     docs = make_docs([(i, f"t{i % 7}" if i % 5 else None) for i in range(997)])
@@ -285,6 +292,30 @@ def test_layouts(spark, rows, schema, want):
     assert [(t["role"], t["text"]) for t in got] == want
 
 
+def test_rows_of_many_layouts(spark):
+    data = [
+        (1, {"prompt": "p", "completion": "c"}, [("user", "p"), ("assistant", "c")]),
+        (2, {"instruction": "i", "input": "n", "output": "o"}, [("user", "i\nn"), ("assistant", "o")]),
+        (3, {"output": "o", "instruction": "i"}, [("user", "i"), ("assistant", "o")]),
+        (4, {"messages": [{"role": "user", "content": "u"}, {"role": "model", "content": None}, None]}, [("user", "u"), ("assistant", "")]),
+        (5, {"id": 7, "conversations": [{"from": "human", "value": "h", "more": 1}, {"from": "gpt", "value": "g"}]}, [("user", "h"), ("assistant", "g")]),
+        (6, {"system": "s", "prompt": "p", "response": None, "tags": [1]}, [("system", "s"), ("user", "p"), ("assistant", "")]),
+        (7, {"messages": []}, []),
+        (8, {"unheard": 1}, None),
+        (9, {"instruction": "i", "input": "", "output": "o"}, [("user", "i"), ("assistant", "o")]),
+    ]
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v, _ in data] + [(10, None), (11, "no object")], "conv_id long, record string")
+    got = {r["conv_id"]: r["turns"] and [tuple(t) for t in r["turns"]] for r in chat.canonical_records(df).collect()}
+    assert {k: got[k] or got[k] for k in got} == {k: want for k, _, want in data} | {10: None, 11: None}
+    assert chat.formatted(chat.canonical_records(df).where("turns is not null")).count() == 8
+
+
+def test_names_of_control_strings(spark, make_docs):
+    for text in ("<|reserved_special_token_0|>", "<|fim-prefix|>", "a <|x|> b"):
+        r = make_docs([(1, text)]).select(chat.escaped(F.col("text")).alias("e"), chat.unescaped(chat.escaped(F.col("text"))).alias("u")).first()
+        assert r["e"] != text and r["u"] == text
+
+
 def test_unknown_layout(spark):
     with pytest.raises(ValueError, match="no layout"):
         chat.canonical(spark.range(1).toDF("conv_id"))
