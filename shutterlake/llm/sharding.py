@@ -22,7 +22,7 @@ def interleaved(rows: DataFrame, shards: int, id_col: str = "doc_id", source_col
     """rows with shard (int, from 0) and slot (long, gapless from 0 in a shard).
 
     Null sources form a source of their own. Null ids are shuffled like any
-    other id. Rows equal in id and tie_cols are interchangeable: which of them
+    other id, and rows of one id by their tie_cols, so that neither meet in a task. Rows equal in id and tie_cols are interchangeable: which of them
     gets which place is not defined, but the set of places is. Fewer rows than
     shards leave shards empty; an empty table gives an empty result. Other
     columns of rows are kept, whatever their names.
@@ -32,7 +32,7 @@ def interleaved(rows: DataFrame, shards: int, id_col: str = "doc_id", source_col
     held = rows.select(
         F.struct("*").alias("row"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("stratum"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
+        F.xxhash64(F.lit(seed), F.col(id_col), *(F.col(c) for c in tie_cols)).alias("h"),
         F.struct(F.col(id_col), *(F.col(c) for c in tie_cols)).alias("tie"),
     ).withColumn("block", F.shiftright((F.shiftright("h", 32) + F.lit(2**31)) * F.lit(blocks), 32))
 
@@ -51,6 +51,7 @@ def interleaved(rows: DataFrame, shards: int, id_col: str = "doc_id", source_col
 
 
 def op5(docs: DataFrame, shards: int = 40) -> DataFrame:
+    """A place for every row, as interleaved() gives it, by law `rows`."""
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "source")
     out = interleaved(slim, shards, tie_cols=("text_crc32", "size"))
