@@ -180,8 +180,8 @@ def _page(fields: dict[str, str], block: bytes) -> tuple:
 
 
 def read_archives(manifest: DataFrame, split_bytes: int = 4 << 20, payloads: bool = True) -> DataFrame:
-    """Records of all archives of a manifest (path, bytes), in tasks of
-    split_bytes. payload_digest is computed from a response's payload, and is
+    """Records of all archives of a manifest (path, bytes), in as many tasks as
+    there are ranges of split_bytes. payload_digest is computed from a response's payload, and is
     the stated one of a revisit, whose payload is null."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +205,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = 4 << 20, payloads: boo
 
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"))
-    return ranges.repartition(F.col("path"), F.col("start")).mapInPandas(read, RECORDS)
+    # Ranges are tiny rows: without a number of partitions they would meet in one task.
+    tasks = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    return ranges.repartition(int(tasks), "path", "start").mapInPandas(read, RECORDS)
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
@@ -231,4 +233,6 @@ def round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0
 
 
 def op6(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """A row a page, as read back. Null payloads are empty; an empty table gives
+    an empty result; other columns of pages are left out."""
     return round_trip(spark, pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -32,3 +32,13 @@ def test_every_link_is_counted(make_docs, monkeypatch, cell):
     sets = {i: plain.shingles(t) for i, t in rows}
     got = {r["doc_id"]: r["n_links"] for r in ngram_join.op4(make_docs(rows)).collect()}
     assert got == {i: sum(j != i and plain.linked(s, sets[j]) for j in sets) for i, s in sets.items()}
+
+
+def test_read_tasks_grow_with_the_ranges(spark):
+    df = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 50) for i in range(300)], "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.decided(df), fresh_path(spark, "warc"))
+    size = manifest.agg(F.sum("bytes")).first()[0]
+    for ranges in (4, 12):
+        read = warc.read_archives(manifest, split_bytes=size // ranges)
+        read.write.format("noop").mode("overwrite").save()
+        assert read.rdd.getNumPartitions() >= ranges and read.count() == 300
