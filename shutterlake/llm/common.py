@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import shared_folder
+
 #: The ASCII white space that separates words, U+0020 and U+0009 to U+000D.
 WORD_SPACE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,17 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's
-    spark.checkpoint.dir. Only where that is unset (tests, local mode) is a
-    temporary folder of this machine chosen, and recorded in the session."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='shutterlake-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/shutterlake-{uuid.uuid4().hex}/{name}"
 
@@ -50,6 +40,21 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows and bytes of a batch that a Python worker gets at once, at most.
+BATCH_ROWS, BATCH_BYTES = 500, "16m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands rows to Python in small batches: texts may be
+    long, and a worker holds a batch several times over. What the session sets
+    itself to less stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key, "10000")) > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def released(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of queries that are over now, rather
     than when the driver next collects its garbage."""

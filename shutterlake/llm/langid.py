@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bounds of the labelled sample: rows a language (expected), bytes of its dictionary.
 SAMPLE_ROWS, DICTIONARY_BYTES = 800, 112 << 10
 LEVEL, CHUNK = 6, 4096
@@ -133,7 +135,11 @@ def learned(docs: DataFrame) -> Model:
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identified(learned(docs), F.col("text").cast("string")).alias("found"))
+    """A prediction a row. Texts that are null, or have no letter, are `und`;
+    equal texts are told alike, ties go to the more frequent language; without
+    labelled rows every text is `und`. An empty table gives an empty result;
+    other columns may have any names."""
+    found = small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identified(learned(docs), F.col("text").cast("string")).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.margin", "found.accepted")
 
 
@@ -145,4 +151,4 @@ def keep_identified(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     model = learned(docs)
     if not model.languages:
         return docs
-    return docs.where(identified(model, F.col("text").cast("string"), margin).getField("accepted"))
+    return small_batches(docs).where(identified(model, F.col("text").cast("string"), margin).getField("accepted"))

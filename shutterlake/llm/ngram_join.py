@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import settled
+from .common import settled, small_batches
 from .graph import components
 
 WIDTH = 5
@@ -310,7 +310,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and text_key. Rows are told apart by the first and the last;
     rows equal in both have equal texts."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_key"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_key"))
 
 
 def compared(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -460,4 +460,5 @@ def representatives(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def op4(docs: DataFrame) -> DataFrame:
+    """A row a row of docs, as counted() gives it."""
     return counted(docs).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")

@@ -27,16 +27,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import settled
+from .common import settled, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words kept with their ids by each Python worker; when full, it starts again.
-CACHE_WORDS = 1_000_000
+#: Words kept with their ids by each Python worker in each of two generations;
+#: when the younger is full it becomes the older, whose words are met again or go.
+CACHE_WORDS = 250_000
+#: New words that are encoded at a time, and texts whose words are looked up together.
+TOGETHER, TEXTS = 2000, 50
 
 
 class WordIds(dict):
-    """uint32 ids of a stretch of text without spaces or line feeds, as bytes.
+    """uint32 ids of stretches of text without spaces or line feeds, as bytes.
 
     The tokenizer treats white space as a break that it drops, and none of its
     normalization looks across it, so a text's ids are those of its stretches
@@ -46,23 +50,48 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
 
-    def __missing__(self, word: str) -> bytes:
+    def learn(self, words: set[str]) -> None:
+        """Sees to it that all these words are kept. New ones are encoded many at a time."""
         if len(self) > CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
             self[""] = b""
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
+        new = []
+        for word in words:
+            if word not in self:
+                ids = self.older.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    self[word] = ids
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            ids = np.array(found.ids, "<u4")
+            # Pieces come in order, each with the place in the text where it begins.
+            ends = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts[1:], "left")
+            begin = 0
+            for word, end in zip(part, ends.tolist(), strict=True):
+                self[word] = ids[begin:end].tobytes()
+                begin = end
 
 
 _caches: dict[str, WordIds] = {}
 
 
-def text_ids(text: str, path: str) -> bytes:
+def texts_ids(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text, as bytes."""
     cache = _caches.get(path) or _caches.setdefault(path, WordIds(path))
-    return b"".join(map(cache.__getitem__, text.replace("\n", " ").split(" ")))
+    split = [t.replace("\n", " ").split(" ") for t in texts]
+    cache.learn({w for words in split for w in words})
+    return [b"".join(map(cache.__getitem__, words)) for words in split]
+
+
+def text_ids(text: str, path: str) -> bytes:
+    return texts_ids([text], path)[0]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, tokens: int, end_id: int = 0) -> DataFrame:
@@ -74,12 +103,14 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, tokens: int, end_id: int =
         end, step = np.array([end_id], "<u4").tobytes(), 4 * tokens
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = text_ids(text.as_py() or "", tokenizer) + end
-                rows += [(doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step)) for part in (ids[at : at + step],)]
+            for at in range(0, batch.num_rows, TEXTS):
+                ids_of, texts = batch.column(0).slice(at, TEXTS).to_pylist(), batch.column(1).slice(at, TEXTS).to_pylist()
+                for doc_id, ids in zip(ids_of, texts_ids([t or "" for t in texts], tokenizer), strict=True):
+                    ids += end
+                    rows += [(doc_id, k, place // 4, len(part) // 4, zlib.crc32(part)) for k, place in enumerate(range(0, len(ids), step)) for part in (ids[place : place + step],)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
 def best_fit(histogram: dict[int, int], tokens: int, documents: int, attention: int, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "residual_norm") -> tuple[np.ndarray, int]:
@@ -139,26 +170,29 @@ def best_fit(histogram: dict[int, int], tokens: int, documents: int, attention:
 def packed(pieces: DataFrame, tokens: int, documents: int | None = None, attention: int | None = None, block_rows: int = 4096, **how) -> DataFrame:
     """pieces (doc_id, piece, length, ...), settled, with sequence_id (long, from
     0) and offset (long). Rows equal in doc_id and piece are interchangeable. An
-    empty table gives an empty result. None: no limit beside tokens."""
+    empty table gives an empty result. None: no limit beside tokens. Other
+    columns may have any names but those two."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `tokens` rows
     plan, _ = best_fit(counts, tokens, documents or tokens, attention or tokens * tokens, **how)
     blocks = max(1, -(-sum(counts.values()) // block_rows))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    dealt = pieces.select(F.struct("*").alias("row"), F.col("length").alias("length"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).alias("block"))
     sizes = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
     sizes = sizes.select("length", "block", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    own = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece"))
-    ranked = dealt.join(sizes, ["length", "block"]).withColumn("rank", F.col("earlier") + own - 1).select(*pieces.columns, "rank")
+    own = F.row_number().over(Window.partitionBy("length", "block").orderBy("row.doc_id", "row.piece"))
+    # The rank comes last, under a name that pieces don't have.
+    ranked = dealt.join(sizes, ["length", "block"]).withColumn("rank", F.col("earlier") + own - 1).select("row.*", F.col("rank").alias("rank" + max(pieces.columns, key=len)))
+    at = pieces.columns.index("length")
     keys = (plan[:, 0] << 44) + plan[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("length", "rank"))
+            length, rank = np.asarray(batch.column(at)), np.asarray(batch.column(batch.num_columns - 1))
             row = plan[np.searchsorted(keys, (length << 44) + rank, "right") - 1]
             which = rank - row[:, 1]
             columns = [batch.column(i) for i in range(len(batch.schema.names) - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(row[:, 2] + which // row[:, 3]), pa.array(row[:, 4] + which % row[:, 3] * length)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long")
     return ranked.mapInArrow(place, schema)
 
 
@@ -175,4 +209,6 @@ def tokenizer_path() -> str:
 
 
 def op2(docs: DataFrame) -> DataFrame:
+    """Every piece with its place. Repeated rows have pieces each; an empty table
+    gives an empty result; other columns of docs are left out."""
     return pack_documents(docs, tokenizer_path())
