@@ -1,9 +1,11 @@
 """Cases of the data model: text, joins, aggregates, search, changes."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shutterlake import schemas
+from shutterlake.fixtures import Catalog
 from shutterlake.functions import numeric as N
 from shutterlake.functions import text, vectors
 from shutterlake.operators import layout
@@ -11,6 +13,7 @@ from shutterlake.operators import listing as L
 from shutterlake.operators import mutations as M
 from shutterlake.operators import relations as R
 from shutterlake.operators import vector as V
+from shutterlake.plans import registry
 
 
 def rows(df, *columns):
@@ -220,6 +223,24 @@ def test_blobs(spark):
     assert spark.createDataFrame([(bytearray(b"123"),)], "b binary").select(vectors.from_blob(F.col("b"))).first()[0] is None
 
 
+def test_half_precision(spark):
+    values = [0.0, -0.0, 1.0, -1.0, 0.1, -0.3333, 2.0**-14, 2.0**-24, 2.0**-25, 3 * 2.0**-25, 1e-9, 65504.0, 65519.0, 65520.0, -1e30, float("inf"), float("nan"), 2049.0, 2051.0]
+    values = np.array(values + list(np.random.default_rng(5).normal(0, 0.2, 2000)), np.float32)
+    df = spark.createDataFrame([(values.tolist(),)], "v array<float>")
+    got = np.array(df.select(vectors.half_precision(F.col("v"))).first()[0], np.float32)
+    with np.errstate(over="ignore"):
+        np.testing.assert_array_equal(got, values.astype(np.float16).astype(np.float32))
+
+
+def test_index_file_again(spark):
+    """The index is stored each time, not only the first time in a session."""
+    for _ in range(3):
+        got = {r["id"]: r["x0"] for r in registry.queries()["s8_index_file"](spark, "/root/testdata/sf0.001").collect()}
+        held = {r["id"]: r["embedding"] for r in Catalog(spark, "/root/testdata/sf0.001").face_vectors.select("id", "embedding").collect()}
+        assert got.keys() == held.keys()
+        assert all(abs(got[k] - v[0] / np.linalg.norm(v)) < 0.006 for k, v in held.items())
+
+
 def test_schemas(spark):
     df, version = schemas.migrate(spark.range(1).toDF("id"), 1, [(2, schemas.add_column("kind", "x")), (1, schemas.add_column("old", 1))])
     assert df.columns == ["id", "kind"] and version == 2
