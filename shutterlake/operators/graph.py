@@ -48,16 +48,19 @@ def _union(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": list(parent), "component": [root(x) for x in list(parent)]})
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, ends: bool = False) -> DataFrame:
     """id, component (its least id) of nodes under edges (a, b), by randomized
     contraction: each round every node goes over to the node of least random
-    priority around it, so the rounds are logarithmic in the longest path."""
+    priority around it, so the rounds are logarithmic in the longest path.
+
+    Ends of edges that are no nodes join what they link, and with `ends` they
+    have rows too. A null id is no node."""
+    nodes = nodes.select("id").where("id is not null").distinct()
     links = settled(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
     if links.count() <= SMALL_EDGES:
         found = links.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_union, "id long, component long")
-        rest = nodes.select("id").distinct().join(found.select("id"), "id", "left_anti")
-        return found.unionByName(rest.withColumn("component", F.col("id")))
-    at = nodes.select("id").union(links.select("a")).union(links.select("b")).distinct().withColumn("at", F.col("id"))
+        return nodes.join(found, "id", "full" if ends else "left").select("id", F.coalesce("component", "id").alias("component"))
+    at = nodes.union(links.select("a")).union(links.select("b")).distinct().withColumn("at", F.col("id"))
     turn = 0
     while not links.isEmpty():
         key = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("r"), c.alias("id"))  # noqa: B023, E731
@@ -70,7 +73,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         links, turn = settled(links.where("a <> b").distinct()), turn + 1
     at = settled(at)
     least = at.groupBy("at").agg(F.min("id").alias("component"))
-    return at.join(least, "at").select("id", "component")
+    found = at.join(least, "at").select("id", "component")
+    return found if ends else found.join(nodes, "id", "left_semi")
 
 
 def _kruskal(rows: pd.DataFrame) -> pd.DataFrame:
@@ -116,10 +120,11 @@ def _kruskal(rows: pd.DataFrame) -> pd.DataFrame:
 def constrained_components(nodes: DataFrame, edges: DataFrame, constraints: DataFrame) -> DataFrame:
     """id, cluster, contradicted. Decisions in one component of edges and
     must-links depend on no other, so components are found first, and only those
-    with a cannot-link inside are worked through edge by edge, one a task."""
+    with a cannot-link inside are worked through edge by edge, one a task. Ends
+    of edges that are no nodes have no rows."""
     e = edges.select(F.lit("edge").alias("kind"), F.col("face_a").alias("a"), F.col("face_b").alias("b"), F.col("weight").cast("double"))
     c = constraints.select("kind", F.col("face_a").alias("a"), F.col("face_b").alias("b"), F.lit(0.0).alias("weight"))
-    whole = components(nodes, e.unionByName(c.where("kind = 'must_link'")).select("a", "b"))
+    whole = components(nodes, e.unionByName(c.where("kind = 'must_link'")).select("a", "b"), ends=True)
     inside = c.where("kind = 'cannot_link'").join(whole.select(F.col("id").alias("a"), "component"), "a").join(whole.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").where(F.col("component") == F.col("other"))
     hard = inside.select("component").distinct()
     easy = whole.join(hard, "component", "left_anti").select("id", F.col("component").alias("cluster"), F.lit(False).alias("contradicted"))
@@ -127,7 +132,7 @@ def constrained_components(nodes: DataFrame, edges: DataFrame, constraints: Data
     work = work.join(whole.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").where(F.col("component") == F.col("other")).select("component", "kind", "a", "b", "weight")
     alone = whole.join(hard, "component", "left_semi").select("component", F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("weight"))
     solved = work.unionByName(alone).groupBy("component").applyInPandas(lambda rows: _kruskal(rows), "id long, cluster long, contradicted boolean")
-    return easy.unionByName(solved)
+    return easy.unionByName(solved).join(nodes.select("id"), "id", "left_semi")
 
 
 def label_actions(clusters: DataFrame, faces: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -74,6 +74,20 @@ def test_components(spark, monkeypatch, small):
     assert {r["id"]: r["component"] for r in got.collect()} == {i: root(i) for i in range(90)}
 
 
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_of_nodes_alone(spark, monkeypatch, small):
+    """An end of an edge that is no node links others and has no row; nor has a null id."""
+    monkeypatch.setattr(G, "SMALL_EDGES", small)
+    nodes = spark.createDataFrame([(1,), (2,), (5,), (8,), (8,), (None,)], "id long")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 3), (8, 9)], "a long, b long")
+    assert sorted(map(tuple, G.components(nodes, edges).collect())) == [(1, 1), (2, 1), (5, 1), (8, 8)]
+
+
+def test_clusters_of_nodes_alone(spark):
+    assert clusters(spark, [1, 2], [(1, 2, 0.9), (2, 3, 0.8)], []) == [[1, 2]]
+    assert clusters(spark, [1, 2], [(1, 2, 0.9), (2, 3, 0.8)], [(1, 3, "cannot_link", "removal")]) == [[1, 2]]
+
+
 def test_label_actions(spark):
     c = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (7, 7), (8, 7), (9, 7)], "id long, cluster long")
     faces = spark.createDataFrame([(1, 10), (2, None), (3, None), (4, None), (5, None), (6, None), (7, 10), (8, 20), (9, None)], "id long, subject_id long")
