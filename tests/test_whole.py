@@ -41,3 +41,11 @@ def test_reconciled_over_all_images(spark):
     assert {r["image_id"] for r in got} == {image for image, k in faces if k % 4 != 1}
     touched = {r["face_id"] for r in got if r["face_id"] is not None}
     assert touched == {k for image, k in faces if image in {r["image_id"] for r in got}}
+
+
+def test_labels_without_a_last_neighbour(spark, tmp_path):
+    """The edge from the last id to one that is not there adds no face to a cluster."""
+    rows = [(k, [1.0, float(k)], 7) for k in range(6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["cluster"]: (r["size"], r["unlabeled"]) for r in registry.queries()["g5_label_actions"](spark, str(tmp_path)).collect()}
+    assert got == {0: (4, 2), 4: (2, 0)}
