@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.store import settled
+
 EMBEDDER = "buffalo_s_recognition"
+#: Image ids (of 8 bytes) that are broadcast at most.
+BROADCAST_IMAGES = 1_000_000
 
 
 class Catalog:
@@ -50,7 +54,16 @@ class Catalog:
 
     @property
     def faces(self) -> DataFrame:
+        return self._faces(self.raw("lineitem"))
+
+    def faces_beside(self, *subjects: int) -> DataFrame:
+        """All faces of the images that show one of the subjects. Faces are numbered
+        within their image, so these have the ids that they have in faces."""
         li = self.raw("lineitem")
+        shown = settled(li.where(F.col("l_suppkey").isin(*subjects)).select("l_orderkey").distinct())
+        return self._faces(li.join(F.broadcast(shown) if shown.count() <= BROADCAST_IMAGES else shown, "l_orderkey", "left_semi"))
+
+    def _faces(self, li: DataFrame) -> DataFrame:
         order = ["l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
         n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))
         q = F.col("l_quantity")

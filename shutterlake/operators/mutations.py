@@ -217,18 +217,38 @@ def linked(constraints: DataFrame, pairs: DataFrame, kind: str, source: str, now
     return insert_ignore(constraints, new, "face_a", "face_b", "kind")
 
 
-def face_pairs(faces: DataFrame, a: int, b: int) -> DataFrame:
-    """x, y: all faces of one subject with all of another, through the pair's key."""
-    left = faces.where(F.col("subject_id") == a).select(F.col("id").alias("x"), F.lit(b).alias("with"))
-    right = faces.where(F.col("subject_id") == b).select(F.col("id").alias("y"), F.col("subject_id").cast("int").alias("with"))
-    return left.join(right, "with").select("x", "y")
+#: Pairs of faces are made in cells of SIDE by SIDE, dealt to CELL_TASKS tasks.
+SIDE, CELL_TASKS = 32, 256
+
+
+def merge_linked(constraints: DataFrame, faces: DataFrame, a: int, b: int, now: int) -> DataFrame:
+    """constraints with a must-link of each face of one subject with each of
+    another, as linked() gives it.
+
+    Faces are told apart before they are paired, so the pairs, of which there may
+    be very many, are neither sorted nor moved: only those of faces that have
+    must-links already are held against these."""
+    mine = lambda s: F.max(F.col("subject_id") == s)
+    members = faces.where(F.col("subject_id").isin(a, b)).groupBy("id").agg(mine(a).alias("in_a"), mine(b).alias("in_b"))
+    held = constraints.where("kind = 'must_link'")
+    known = held.select(F.explode(F.array("face_a", "face_b")).alias("id")).distinct().withColumn("known", F.lit(True))
+    row, column = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(SIDE)).cast("int") for seed in (1, 2))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1)))
+    cell = lambda df: df.withColumn("cell", F.col("row") * SIDE + F.col("column")).drop("row", "column").repartition(CELL_TASKS, "cell")
+    x = members.where("in_a").join(known, "id", "left").select(F.col("id").alias("x"), F.col("in_b").alias("x_too"), F.coalesce("known", F.lit(False)).alias("known"), row.alias("row"), every.alias("column"))
+    y = members.where("in_b").select(F.col("id").alias("y"), F.col("in_a").alias("y_too"), column.alias("column"), every.alias("row"))
+    pairs = cell(x).join(cell(y), "cell").where("x <> y and not (x_too and y_too and x > y)")
+    pairs = pairs.select(F.least("x", "y").alias("face_a"), F.greatest("x", "y").alias("face_b"), "known")
+    fresh = pairs.where("not known").drop("known").unionByName(pairs.where("known").drop("known").join(held.select("face_a", "face_b"), ["face_a", "face_b"], "left_anti"))
+    fresh = fresh.withColumns({"kind": F.lit("must_link"), "source": F.lit("merge"), "created_at": F.lit(now).cast("long")})
+    return constraints.unionByName(fresh.select(*constraints.columns))
 
 
 def merge_subjects(t: dict[str, DataFrame], target: int, source: int, now: int) -> dict[str, DataFrame]:
     """source goes into target: its name is taken if target has none, faces and
     tags move, all their faces must stay together, suggestions of either go."""
     out = dict(t)
-    out["constraints"] = linked(t["constraints"], face_pairs(t["faces"], target, source), "must_link", "merge", now)
+    out["constraints"] = merge_linked(t["constraints"], t["faces"], target, source, now)
     names = t["subjects"].where(F.col("id") == source).select(F.lit(target).cast("long").alias("id"), F.col("name").alias("_name"))
     kept = t["subjects"].where(F.col("id") != source).join(names, "id", "left")
     subjects = kept.withColumn("name", F.coalesce("name", "_name")).select(*t["subjects"].columns)

@@ -181,7 +181,7 @@ def queries() -> dict:
         "g10_suggestions": (lambda c: G.merge_suggestions(_mutual(c), c.face_vectors, _labels(c), _constraints(c), _dismissed(c)).select("subject_id_a", "subject_id_b", _r(F.col("score")).alias("score")), sql(MUTUAL + ", " + CONSTRAINTS + ", " + ALLOWED + ", " + LABELS + ">> SELECT m.subject_id_a, m.subject_id_b, round(score, 6) AS score FROM met m JOIN labels_ a ON a.id = m.subject_id_a JOIN labels_ b ON b.id = m.subject_id_b WHERE (a.name IS NOT NULL OR b.name IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.lo = m.subject_id_a AND g.hi = m.subject_id_b) AND (m.subject_id_a, m.subject_id_b) NOT IN ((0, 1), (2, 5), (7, 9))", "face_vectors")),
         "a6_pair_scores": (lambda c: _pair_scores(c), sql(MUTUAL + ">> SELECT least(a.subject_id, b.subject_id) AS lo, greatest(a.subject_id, b.subject_id) AS hi, round(max(weight), 6) AS score FROM mutual JOIN face_vectors a ON a.id = face_a JOIN face_vectors b ON b.id = face_b WHERE a.subject_id <> b.subject_id GROUP BY 1, 2", "face_vectors")),
         "j18_overlaps": (lambda c: _boxes(c).where("iou >= 0.5"), sql("pairs AS (SELECT f.id, g.id AS other, f.bbox_w * f.bbox_h AS fa, g.bbox_w * g.bbox_h AS ga, least(f.bbox_x + f.bbox_w, g.bbox_x + g.bbox_w) - greatest(f.bbox_x, g.bbox_x) AS w, least(f.bbox_y + f.bbox_h, g.bbox_y + g.bbox_h) - greatest(f.bbox_y, g.bbox_y) AS h FROM faces f JOIN faces g USING (image_id) WHERE f.id < g.id) >> SELECT * FROM (SELECT id, other, CASE WHEN w <= 0 OR h <= 0 THEN 0 ELSE round(w * h / (fa + ga - w * h), 6) END AS iou FROM pairs) WHERE iou >= 0.5", "faces")),
-        "j20_face_pairs": (lambda c: M.linked(_constraints(c), M.face_pairs(_people(c)["faces"], 3, 5), "must_link", "merge", 0).where("source = 'merge'").select("face_a", "face_b"), sql(PEOPLE + ">> SELECT least(a.id, b.id) AS face_a, greatest(a.id, b.id) AS face_b FROM few a, few b WHERE a.subject_id = 3 AND b.subject_id = 5", "faces")),
+        "j20_face_pairs": (lambda c: M.merge_linked(_constraints(c), c.faces_beside(3, 5), 3, 5, 0).where("source = 'merge'").select("face_a", "face_b"), sql(PEOPLE + ">> SELECT least(a.id, b.id) AS face_a, greatest(a.id, b.id) AS face_b FROM few a, few b WHERE a.subject_id = 3 AND b.subject_id = 5", "faces")),
         "g11_merged_subjects": (lambda c: M.merge_subjects(_people(c), 4, 5, NOW)["subjects"].select("id", "name", "thumbnail_face_id"), sql(PEOPLE + ", moved AS (SELECT id, CASE WHEN subject_id = 5 THEN 4 ELSE subject_id END AS subject_id, quality_score, bbox_w * bbox_h AS area FROM few), best AS (SELECT subject_id, id AS face_id FROM moved WHERE subject_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY quality_score DESC NULLS LAST, area DESC, id) = 1) >> SELECT s.id, CASE WHEN s.id = 4 THEN (SELECT name FROM subjects WHERE id = 5) ELSE s.name END AS name, face_id AS thumbnail_face_id FROM subjects s LEFT JOIN best ON subject_id = s.id WHERE s.id <> 5", "faces", "subjects")),
         "g11_merged_suggestions": (lambda c: M.merge_subjects(_people(c), 4, 5, NOW)["merge_suggestions"], sql(SUGGESTED + "SELECT * FROM pairs WHERE subject_id_a NOT IN (4, 5) AND subject_id_b NOT IN (4, 5)", "subjects")),
         "g12_dismissed": (lambda c: M.dismiss(_people(c), 6, 3, NOW)["constraints"].where(F.col("created_at") == NOW).select("face_a", "face_b", "kind", "source"), sql(PEOPLE + ", three AS (SELECT subject_id, id FROM few WHERE subject_id IN (3, 6) QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY id) <= 3) >> SELECT least(a.id, b.id) AS face_a, greatest(a.id, b.id) AS face_b, 'cannot_link' AS kind, 'dismiss' AS source FROM three a, three b WHERE a.subject_id = 3 AND b.subject_id = 6", "faces")),

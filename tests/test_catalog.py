@@ -223,6 +223,26 @@ def test_blobs(spark):
     assert spark.createDataFrame([(bytearray(b"123"),)], "b binary").select(vectors.from_blob(F.col("b"))).first()[0] is None
 
 
+@pytest.mark.parametrize("a, b", [(3, 5), (5, 3), (3, 3), (3, 9)])
+def test_merge_links(spark, a, b):
+    """Each pair once, whatever is held already; pairs held in reverse or of another kind do not count as held."""
+    faces = spark.createDataFrame([(1, 3), (4, 3), (6, 3), (2, 5), (7, 5), (8, None), (9, 4)], "id long, subject_id long")
+    held = [(1, 2, "must_link"), (7, 4, "must_link"), (6, 7, "cannot_link"), (1, 4, "must_link")]
+    held = spark.createDataFrame([(*h, "manual_assign", 1) for h in held], "face_a long, face_b long, kind string, source string, created_at long")
+    left, right = (faces.where(F.col("subject_id") == s).select(F.col("id").alias(n)) for s, n in ((a, "x"), (b, "y")))
+    want = M.linked(held, left.crossJoin(right), "must_link", "merge", 5)
+    assert rows(M.merge_linked(held, faces, a, b, 5)) == rows(want)
+
+
+def test_face_pairs_over_many_tasks(spark):
+    """The pairs of two subjects are made in more tasks than there are shuffle partitions, and stay there."""
+    pairs = registry.queries()["j20_face_pairs"](spark, "/root/testdata/sf0.001")
+    faces = Catalog(spark, "/root/testdata/sf0.001").faces
+    ids = [[r["id"] for r in faces.where(f"subject_id = {s}").select("id").collect()] for s in (3, 5)]
+    assert rows(pairs) == sorted((min(x, y), max(x, y)) for x in ids[0] for y in ids[1])
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 32
+
+
 def test_half_precision(spark):
     values = [0.0, -0.0, 1.0, -1.0, 0.1, -0.3333, 2.0**-14, 2.0**-24, 2.0**-25, 3 * 2.0**-25, 1e-9, 65504.0, 65519.0, 65520.0, -1e30, float("inf"), float("nan"), 2049.0, 2051.0]
     values = np.array(values + list(np.random.default_rng(5).normal(0, 0.2, 2000)), np.float32)
