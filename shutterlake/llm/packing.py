@@ -18,7 +18,9 @@ pieces have is spread over many tasks.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import pairwise
@@ -36,7 +38,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: when the younger is full it becomes the older, whose words are met again or go.
 CACHE_WORDS = 250_000
 #: New words that are encoded at a time, and texts whose words are looked up together.
-TOGETHER, TEXTS = 2000, 50
+TOGETHER, TEXTS = 2000, 100
+
+#: Letters of Latin-1, then marks of ASCII: a stretch of two pre-tokens at most.
+PLAIN = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: How a tokenizer must split and normalize for its model to be asked about such
+#: letters alone, in lower case, with a character for each byte.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters that stand for the bytes of Latin-1 letters.
+BYTES = {c: "".join(chr(b if b > 0xA0 and b != 0xAD else 256 + (b - 0x80 + 34 if b < 0xAD else 67)) for b in chr(c).encode()) for c in range(0xAA, 0x100)}
 
 
 class WordIds(dict):
@@ -51,6 +62,29 @@ class WordIds(dict):
 
         super().__init__({"": b""})
         self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model if self._splits() else None
+        self.four = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
+
+    def _splits(self) -> bool:
+        """Whether PLAIN stretches may go to the model by themselves."""
+        how = json.loads(self.tokenizer.to_str())
+        normal, pre = how["normalizer"] or {}, how["pre_tokenizer"] or {}
+        first, *others = pre.get("pretokenizers") or [{}]
+        return (
+            [n["type"] for n in normal.get("normalizers", ())] == NORMALIZERS
+            and normal["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+            and first.get("pattern") == {"Regex": SPLIT}
+            and (first["behavior"], first["invert"]) == ("Removed", True)
+            and [(o["type"], o["add_prefix_space"], o["use_regex"]) for o in others] == [("ByteLevel", False, False)]
+            and how["post_processor"] is None
+            and how["model"]["dropout"] is None
+            and all(PLAIN.fullmatch(t["content"][:2]) is None for t in how["added_tokens"])
+        )
+
+    def _plain(self, letters: str) -> bytes:
+        """The ids of a run of PLAIN letters."""
+        low = letters.lower()
+        return b"".join([self.four[t.id] for t in self.model.tokenize(low if low.isascii() else low.translate(BYTES))])
 
     def learn(self, words: set[str]) -> None:
         """Sees to it that all these words are kept. New ones are encoded many at a time."""
@@ -58,14 +92,19 @@ class WordIds(dict):
             self.older = dict(self)
             self.clear()
             self[""] = b""
-        new = []
-        for word in words:
-            if word not in self:
-                ids = self.older.get(word)
-                if ids is None:
-                    new.append(word)
-                else:
-                    self[word] = ids
+        new, marked, older = [], [], self.older
+        for word in [w for w in words if w not in self]:
+            ids = older.get(word)
+            if ids is not None:
+                self[word] = ids
+            elif self.model is None or not (found := PLAIN.fullmatch(word)):
+                new.append(word)
+            else:
+                letters, marks = found.groups()
+                self[word] = self._plain(letters)
+                if marks:
+                    marked.append((word, marks))
+        new += {marks for _, marks in marked if marks not in self}.difference(new)
         for at in range(0, len(new), TOGETHER):
             part = new[at : at + TOGETHER]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -77,6 +116,8 @@ class WordIds(dict):
             for word, end in zip(part, ends.tolist(), strict=True):
                 self[word] = ids[begin:end].tobytes()
                 begin = end
+        for word, marks in marked:
+            self[word] += self[marks]
 
 
 _caches: dict[str, WordIds] = {}
@@ -86,7 +127,7 @@ def texts_ids(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text, as bytes."""
     cache = _caches.get(path) or _caches.setdefault(path, WordIds(path))
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    cache.learn({w for words in split for w in words})
+    cache.learn(set().union(*split))
     return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 

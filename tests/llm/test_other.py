@@ -29,6 +29,23 @@ def test_ids_are_the_tokenizers():
         assert packing.text_ids(t, path) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_letters_go_to_the_model_alone():
+    """Runs of plain letters are encoded without the tokenizer's splitting, with the same ids."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    whole, cache = Tokenizer.from_file(path), packing.WordIds(path)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    odd = ["STRASSE", "Straße,", "ÀÉÍ!!", "µm", "ªº", "ÿ;", "don't", "a<|endoftext|>b", "a<|", "İs", "ŒUVRE", "á\u0338", "x\u0338,", "q\xadr", "5a", "a5,", "÷", ",,,", "''s", "word's."]
+    stretches = set(letters) | {c + c + "," for c in letters} | {c + "x." for c in letters} | set(odd)
+    asked = []
+    cache.tokenizer = type("", (), {"encode": lambda _, text, **how: asked.append(text) or whole.encode(text, **how)})()
+    cache.learn(stretches)
+    for word in stretches:
+        assert cache[word] == np.array(whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
+    assert not {w for text in asked for w in text.split(" ")} & {"STRASSE", "Straße,", "ÀÉÍ!!", "µm", "a<|"}
+
+
 def check_packing(rows, tokens):
     by = defaultdict(list)
     for r in rows:
