@@ -96,6 +96,41 @@ def test_lines_salted_hot_and_shuffled(make_docs, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in got} == plain.without_repeated_lines(dict(rows))
 
 
+@pytest.mark.parametrize("maps", [1, 2, 3])
+def test_lines_told_by_bitmaps(make_docs, monkeypatch, maps):
+    """Bitmaps that are much too small, each with the wrong lines of the one before."""
+    monkeypatch.setattr(linededup, "MAP_BITS", 7)
+    monkeypatch.setattr(linededup, "MAPS", maps)
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", 0)
+    rows = corpus(4) + [(5000 + i, f"\n  \nthe very same line\n{i} is line {i}\n") for i in range(60)]
+    got = linededup.op3(make_docs(rows)).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == plain.without_repeated_lines(dict(rows))
+
+
+def test_texts_do_not_move(spark, make_docs, monkeypatch):
+    """However many lines go: only what bitmaps don't tell is sent to the scan."""
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", 10)
+    rows = [(i, f"the very same line of words here\nline {i} of document {i} alone {i}") for i in range(40)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = linededup.deduplicated(make_docs(rows))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plan
+    assert sorted(r["lines_removed"] for r in got.collect()) == [0] + [1] * 39
+
+
+def test_few_similar_pairs_by_short_tokens(spark):
+    """Tokens of one set that are equal in the bits compared first lose no pair."""
+    sets = [[1, 1 + (1 << 20), 1 + (1 << 30), 7], [1, 1 + (1 << 20), 1 + (1 << 30), 9], [1, 7, 8, 9], [2, 3, 4, 5], [2, 3, 4, 5 + (1 << 40)]]
+    lines = spark.createDataFrame([(i, 0, len(t), t) for i, t in enumerate(sets)], "doc long, at long, n int, t array<long>")
+    pairs = spark.createDataFrame([(i, 0, k, 0) for i in range(5) for k in range(i)], "doc long, at long, o_doc long, o_at long")
+    want = {i for i in range(5) for k in range(i) if 7 * len({*sets[i]} & {*sets[k]}) >= 3 * 8}
+    for few in (True, False):
+        assert {r["doc"] for r in linededup._similar(pairs, lines, few).collect()} == want
+
+
 def test_lines_of_a_very_large_group(make_docs):
     rows = [(i, f"the very same line of words here\nline {i} of document {i} alone {i}") for i in range(1100)]
     got = linededup.deduplicated(make_docs(rows)).groupBy("lines_removed").count().collect()
