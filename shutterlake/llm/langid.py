@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 #: Bounds of the labelled sample: rows a language (expected), bytes of its dictionary.
 SAMPLE_ROWS, DICTIONARY_BYTES = 800, 112 << 10
@@ -116,6 +116,7 @@ def identified(model: Model, text: Column, margin: float = MARGIN) -> Column:
     """struct of RESULT for a text column."""
 
     @F.pandas_udf(RESULT)
+    @lean
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         compressors = model.compressors()
         for texts in batches:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import settled, small_batches
+from .common import lean, settled, small_batches
 from .graph import components
 
 WIDTH = 5
@@ -76,7 +76,7 @@ def bucket_counts(docs: DataFrame, bits: int = BUCKETS_BITS, width: int = WIDTH)
             total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 2**bits rows at most
+    rows = docs.select("text").mapInArrow(lean(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 2**bits rows at most
     total = np.zeros(1 << bits, np.int64)
     for bucket, n in rows:
         total[bucket] = n
@@ -136,7 +136,7 @@ def described(docs: DataFrame, rank: np.ndarray, width: int = WIDTH) -> DataFram
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*short, np.empty(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), lists], ["doc_id", "text_key", "n_shingles", "set_key", "bits", "short"])
 
-    rows = docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, bits binary, short array<long>")
+    rows = docs.select("doc_id", "text_key", "text").mapInArrow(lean(run), "doc_id long, text_key long, n_shingles long, set_key binary, bits binary, short array<long>")
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -157,7 +157,7 @@ def postings(held: DataFrame, salts: np.ndarray) -> DataFrame:
             for at in range(0, len(s), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000]) for v in out.values()], list(out))
 
-    return held.select("node", "n_shingles", "short").mapInArrow(run, "s long, salt int, hot boolean, node long, n int, pos int")
+    return held.select("node", "n_shingles", "short").mapInArrow(lean(run), "s long, salt int, hot boolean, node long, n int, pos int")
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
@@ -261,7 +261,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             n = np.asarray(batch.column(4)) + np.asarray(batch.column(5))
             yield batch.select(["a", "b"]).filter(pa.array([7 * apart(v, w) <= k for v, w, k in zip(a, b, n.tolist(), strict=True)], pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_bits", "b_bits", "a_n", "b_n").mapInArrow(run, PAIRS)
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_bits", "b_bits", "a_n", "b_n").mapInArrow(lean(run), PAIRS)
 
 
 def texts_of(nodes: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int) ->
 
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
     both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
-    return both.mapInArrow(run, PAIRS)
+    return both.mapInArrow(lean(run), PAIRS)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -332,7 +332,7 @@ def compared(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame,
     salts = np.maximum(1, np.sort(counts) // LIST_ROWS).astype(np.int32)  # by rank
     total = sets.select(F.sum(F.size("short"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
-    led = settled(postings(held, salts).repartition(parts, "s", "salt").mapInArrow(_lead, LED), "led")
+    led = settled(postings(held, salts).repartition(parts, "s", "salt").mapInArrow(lean(_lead), LED), "led")
 
     star = led.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("a_n"), F.col("n").alias("b_n"), F.col("leader_pos").alias("a_pos"), F.col("pos").alias("b_pos"))
     # Leaders of one list's salts are held against the first of them.
@@ -354,7 +354,7 @@ def compared(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame,
     cells = cells.withColumn("salt", F.pmod(F.hash("node"), F.col("salts")).cast("int")).join(sets.select(F.col("row").alias("node"), "bits"), "node")
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     cells = cells.select("hot", "key", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "node", "n", "band", "component", "bits")
-    more = cells.repartition(parts, "hot", "key", "lo", "hi").mapInArrow(_cross, PAIRS).distinct()
+    more = cells.repartition(parts, "hot", "key", "lo", "hi").mapInArrow(lean(_cross), PAIRS).distinct()
     links = links.unionByName(settled(_verified(more, sets, docs, width), "more"))
     return sets, classes, settled(components(links), "components")
 
@@ -434,7 +434,7 @@ def counted(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     cells = cells.select("component", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "node", "salt", "copies", "text", F.lit(width).alias("width"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cells.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_links, "node long, links long")
+    found = cells.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(lean(_links), "node long, links long")
     found = settled(found, "counts").groupBy("node").agg(F.sum("links").alias("links"))
     held = named(sets, classes, near).join(found, "node", "left")
     links = F.when(F.col("n_shingles") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0))

@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settled, small_batches
+from .common import lean, settled, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words kept with their ids by each Python worker in each of two generations;
 #: when the younger is full it becomes the older, whose words are met again or go.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 #: New words that are encoded at a time, and texts whose words are looked up together.
 TOGETHER, TEXTS = 2000, 100
 
@@ -151,7 +151,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, tokens: int, end_id: int =
                     rows += [(doc_id, k, place // 4, len(part) // 4, zlib.crc32(part)) for k, place in enumerate(range(0, len(ids), step)) for part in (ids[place : place + step],)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(cut), PIECES)
 
 
 def best_fit(histogram: dict[int, int], tokens: int, documents: int, attention: int, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "residual_norm") -> tuple[np.ndarray, int]:
@@ -234,7 +234,7 @@ def packed(pieces: DataFrame, tokens: int, documents: int | None = None, attenti
             yield pa.RecordBatch.from_arrays([*columns, pa.array(row[:, 2] + which // row[:, 3]), pa.array(row[:, 4] + which % row[:, 3] * length)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
     schema = T.StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = 2048, documents: int | None = None, attention: int | None = None, **how) -> DataFrame:

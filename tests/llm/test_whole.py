@@ -42,3 +42,33 @@ def test_read_tasks_grow_with_the_ranges(spark):
         read = warc.read_archives(manifest, split_bytes=size // ranges)
         read.write.format("noop").mode("overwrite").save()
         assert read.rdd.getNumPartitions() >= ranges and read.count() == 300
+
+
+def test_workers_give_free_memory_back(monkeypatch):
+    """After each batch, and at the end of a task, also of one that is cut short."""
+    import pyarrow as pa
+
+    from shutterlake.llm.common import lean
+
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    run = lean(lambda batches: (b + 1 for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 3] and Pool.released == 3
+    cut = run(iter([1, 2]))
+    assert next(cut) == 2
+    cut.close()
+    assert Pool.released == 4
+
+
+def test_kept_words_are_bounded():
+    from shutterlake.llm import packing
+
+    held = packing.WordIds(packing.tokenizer_path())
+    for k in range(0, 600_000, 20_000):
+        held.learn({f"{i:x}" for i in range(k, k + 20_000)})
+    assert len(held) + len(held.older) < 300_000
