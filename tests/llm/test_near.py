@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 
 import pytest
@@ -121,6 +122,35 @@ def test_texts_do_not_move(spark, make_docs, monkeypatch):
     assert sorted(r["lines_removed"] for r in got.collect()) == [0] + [1] * 39
 
 
+def test_texts_are_flattened_once_and_whole(spark):
+    """Words of lines of a flattened text are those of its lines each by itself."""
+    text = "ΟΔΟΣ ΣΑΣ\nΣΑΣ'\n'Σ ÀÉ İI\n\n \t\x0b\nA\tB\x0b\x0cC\r\nx\x1cY\x85Z\xa0\nΣ\u0301\nΣ ΑΣ"
+    lines = text.split("\n")
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = {r["at"]: set(r["t"]) for r in linededup.parsed(linededup.identified(rows)).collect()}
+    each = spark.createDataFrame([(i, w) for i, line in enumerate(lines) for w in re.findall(r"[^\x20\x09-\x0D]+", line)], "at int, w string")
+    want = {r["at"]: set(r["t"]) for r in each.groupBy("at").agg(F.collect_set(F.xxhash64(F.lower("w"))).alias("t")).collect()}
+    assert got == want and not {3, 4} & set(got)
+
+
+def test_lines_of_pairs_are_read_from_all_lines_once(spark, monkeypatch):
+    """However often pairs are held against each other, all lines are filtered once."""
+    asked, in_filter = [], linededup._in_filter
+    monkeypatch.setattr(linededup, "_in_filter", lambda *a, **k: asked.append(1) or in_filter(*a, **k))
+    lines = spark.createDataFrame([(i, 0, 2, [1, 2]) for i in range(3)], "doc long, at long, n int, t array<long>")
+    pairs = spark.createDataFrame([(2, 0, 0, 0)], "doc long, at long, o_doc long, o_at long")
+    assert [r["doc"] for r in linededup._similar(pairs, lines, True).collect()] == [2]
+    assert len(asked) == 1
+
+
+@pytest.mark.parametrize("banded", [0, 127])
+def test_lines_with_and_without_bands(make_docs, monkeypatch, banded):
+    monkeypatch.setattr(linededup, "BANDED", banded)
+    rows = corpus(5)
+    got = linededup.op3(make_docs(rows)).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == plain.without_repeated_lines(dict(rows))
+
+
 def test_few_similar_pairs_by_short_tokens(spark):
     """Tokens of one set that are equal in the bits compared first lose no pair."""
     sets = [[1, 1 + (1 << 20), 1 + (1 << 30), 7], [1, 1 + (1 << 20), 1 + (1 << 30), 9], [1, 7, 8, 9], [2, 3, 4, 5], [2, 3, 4, 5 + (1 << 40)]]
