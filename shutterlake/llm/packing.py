@@ -36,7 +36,7 @@ from .common import lean, settled, small_batches
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words kept with their ids by each Python worker in each of two generations;
 #: when the younger is full it becomes the older, whose words are met again or go.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 200_000
 #: New words that are encoded at a time, and texts whose words are looked up together.
 TOGETHER, TEXTS = 2000, 100
 
@@ -81,9 +81,8 @@ class WordIds(dict):
             and all(PLAIN.fullmatch(t["content"][:2]) is None for t in how["added_tokens"])
         )
 
-    def _plain(self, letters: str) -> bytes:
-        """The ids of a run of PLAIN letters."""
-        low = letters.lower()
+    def _plain(self, low: str) -> bytes:
+        """The ids of a run of PLAIN letters in lower case."""
         return b"".join([self.four[t.id] for t in self.model.tokenize(low if low.isascii() else low.translate(BYTES))])
 
     def learn(self, words: set[str]) -> None:
@@ -92,18 +91,21 @@ class WordIds(dict):
             self.older = dict(self)
             self.clear()
             self[""] = b""
-        new, marked, older = [], [], self.older
-        for word in [w for w in words if w not in self]:
-            ids = older.get(word)
-            if ids is not None:
-                self[word] = ids
-            elif self.model is None or not (found := PLAIN.fullmatch(word)):
-                new.append(word)
-            else:
+        new, marked, older, younger = [], [], self.older.get, self.get
+        for word in words.difference(self):
+            ids = older(word)
+            if ids is None:
+                if self.model is None or not (found := PLAIN.fullmatch(word)):
+                    new.append(word)
+                    continue
                 letters, marks = found.groups()
-                self[word] = self._plain(letters)
+                low = letters.lower()
+                # The same letters may be known without marks and in lower case.
+                if low == word or ((ids := younger(low)) is None and (ids := older(low)) is None):
+                    ids = self._plain(low)
                 if marks:
                     marked.append((word, marks))
+            self[word] = ids
         new += {marks for _, marks in marked if marks not in self}.difference(new)
         for at in range(0, len(new), TOGETHER):
             part = new[at : at + TOGETHER]

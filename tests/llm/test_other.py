@@ -46,6 +46,25 @@ def test_letters_go_to_the_model_alone():
     assert not {w for text in asked for w in text.split(" ")} & {"STRASSE", "Straße,", "ÀÉÍ!!", "µm", "a<|"}
 
 
+def test_known_letters_are_not_encoded_again():
+    """Stretches whose letters are known in lower case and without marks take their ids, from either generation."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    whole, cache = Tokenizer.from_file(path), packing.WordIds(path)
+    asked, model = [], cache.model
+    cache.model = type("", (), {"tokenize": lambda _, text: asked.append(text) or model.tokenize(text)})()
+    cache.learn({"wordlet", "étude"})
+    cache.older = dict(cache)
+    cache.clear()
+    cache.learn({"other"})
+    stretches = {"Wordlet", "WORDLET,", "wordlet!?", "Étude.", "OTHER;", "Other", "other,"}
+    cache.learn(stretches)
+    assert len(asked) == 3
+    for word in stretches:
+        assert cache[word] == np.array(whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
+
+
 def check_packing(rows, tokens):
     by = defaultdict(list)
     for r in rows:
