@@ -143,6 +143,22 @@ def test_lines_of_pairs_are_read_from_all_lines_once(spark, monkeypatch):
     assert len(asked) == 1
 
 
+def test_pairs_leave_the_join_once(make_docs, monkeypatch):
+    """Lines that share many rare words in a row are paired in the first one's list."""
+    counts, candidates = [], linededup.candidates
+
+    def counted(*given):
+        pairs, large = candidates(*given)
+        counts.append(pairs.count())
+        return pairs, large
+
+    monkeypatch.setattr(linededup, "candidates", counted)
+    words_ = [f"w{k}" for k in range(40)]
+    got = linededup.op3(make_docs([(1, " ".join(words_)), (2, " ".join([*words_[1:], "changed"])), (3, "unlike any other")])).collect()
+    assert {r["doc_id"]: r["lines_removed"] for r in got} == {1: 0, 2: 1, 3: 0}
+    assert counts == [1]
+
+
 @pytest.mark.parametrize("banded", [0, 127])
 def test_lines_with_and_without_bands(make_docs, monkeypatch, banded):
     monkeypatch.setattr(linededup, "BANDED", banded)
